@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("consensus",)
+MODULES = ("overlap", "consensus", "neighbours")
 
 
 def load() -> tuple[dict, dict]:
