@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ IMAGE_AND_TEXT = ("image_text_relevance",)
 FILLERS_EN = "um uh er hi hello hey please pls plz thanks thank thx asking q question ok so well".split()
 FILLERS_ZH = "请问 您好 你好 麻烦看下 麻烦看一下 麻烦 那个 谢谢大家 谢谢 多谢 在线等 急急".split()
 ENDINGS_ZH = "啊呢急吧哦呀哈"
-MINOR_EN = set("the a an in on at for of by to with and is it its as from through that this my".split())
+MINOR_EN = set("the a an in on at for of by to with and is it as from".split())
 MINOR_ZH = set("了的得地在是吗嘛啊呢吧就也都又还因为会要去来到过给")
 VARIANTS = "勒了 地的 得的 再在 作做 音因 嘛吗 经径 该改 以已 那哪 象像 座坐 带戴 帐账 须需 她他 它他 决绝 既即 侯候 题提 进近 道到"
 TRADITIONAL = "問问 嗎吗 後后 會会 歲岁 個个 給给 發发 買买 過过 醫医 頭头 費费 實实 規规 與与 場场 時时 麼么 裡里 裏里 們们 這这 來来 說说 話话 對对 開开 關关 門门 車车 馬马 鳥鸟 魚鱼 長长 東东 書书 學学 國国 電电 腦脑 機机 單单 號号 檢检 驗验 測测 試试 覺觉 點点 線线 紅红 綠绿 藍蓝 黃黄 鐘钟 錢钱 銀银 鐵铁 雞鸡 豬猪 貓猫 飯饭 湯汤 餅饼 藥药 療疗 痠酸 腫肿 壓压 緊紧 膚肤 鼻鼻 氣气 風风 雲云 雨雨 塵尘 運运 動动 練练 習习 節节 葉叶 萬万 億亿 兩两 雙双 隻只 條条 張张 樓楼 層层 橋桥 橫横 鄉乡 鎮镇 縣县 灣湾 島岛 嶺岭 陽阳 陰阴 陳陈 劉刘 楊杨 趙赵 吳吴 孫孙 華华 歐欧 韓韩 語语 詞词 讀读 寫写 聽听 見见 視视 觀观 認认 識识 記记 錄录 讓让 請请 謝谢 誰谁 為为 無无 從从 應应 當当 經经 結结 約约 級级 紙纸 統统 計计 數数 據据 標标 準准 評评 論论 議议 員员 業业 務务 產产 質质 價价 賣卖 購购 訂订 貨货 費费 還还 選选 邊边 遠远 連连 週周 環环 園园 團团 圖图 聲声 響响 樣样 種种 類类 構构 熱热 燒烧 燈灯 爺爷 離离 難难 難难 靜静 頂顶 順顺 顏颜 額额 願愿 飛飞 餘余 驚惊 體体 鬆松 麗丽 齊齐 龍龙 減减 準准 滿满 漲涨 潔洁 濕湿 災灾 獎奖 現现 療疗 盤盘 監监 確确 禮礼 積积 窩窝 競竞 築筑 簡简 糧粮 縮缩 總总 續续 網网 罰罚 聯联 職职 脫脱 臉脸 舊旧 藝艺 處处 補补 裝装 複复 證证 變变 豐丰 負负 貝贝 財财 貼贴 賽赛 贈赠 趕赶 軟软 輕轻 較较 輛辆 輪轮 轉转 辦办 農农 遊游 遲迟 適适 鄰邻 醬酱 鋪铺 錯错 鍋锅 鎖锁 閉闭 間间 閱阅 隊队 階阶 隨随 險险 雜杂 露露 預预 領领 題题 養养 駕驾 騎骑 骨骨 髮发 鬧闹"
@@ -68,17 +69,20 @@ def tokens(text: str | None) -> list[str]:
 _FILLER_SET = set(FILLERS_EN)
 
 
-def turned(toks: list[str]) -> str:
-    """The text from its anchor on, round to the anchor: the largest number, else the word of largest checksum."""
+def forms(toks: list[str]) -> list[str]:
+    """The text turned to begin at an anchor: its largest number. Without numbers: at the words of largest and of
+    smallest checksum, and as it stands, so that a slip in one anchor leaves another.
+    """
     core = [x for x in toks if x not in MINOR_EN] or toks
     if not core:
-        return ""
+        return []
     numbers = [i for i, x in enumerate(core) if x[0].isdecimal()]
     if numbers:
-        at = max(numbers, key=lambda i: (len(core[i]), core[i], core[(i + 1) % len(core)]))
+        starts = [max(numbers, key=lambda i: (len(core[i]), core[i], core[(i + 1) % len(core)]))]
     else:
-        at = max(range(len(core)), key=lambda i: (_sum(core[i]), core[(i + 1) % len(core)]))
-    return "".join(core[at:] + core[:at])
+        sums = [(_sum(x), i) for i, x in enumerate(core)]
+        starts = sorted({max(sums)[1], min(sums)[1], 0})
+    return ["".join(core[i:] + core[:i]) for i in starts]
 
 
 def _sum(word: str) -> int:
@@ -254,15 +258,15 @@ def overlaps(samples: DataFrame) -> DataFrame:
         for b in batches:
             toks = [tokens(q) for q in b.column("query").to_pylist()]
             numbers = [" ".join(sorted(x for x in t if x[0].isdecimal())) for t in toks]
-            yield pa.RecordBatch.from_arrays([b.column("sample_id"), b.column("task"), b.column("side"), b.column("image"), pa.array([" ".join(t) for t in toks], pa.string()), pa.array(numbers, pa.string()), pa.array([turned(t) for t in toks], pa.string())], names=["sample_id", "task", "side", "image", "toks", "numbers", "form"])
+            yield pa.RecordBatch.from_arrays([b.column("sample_id"), b.column("task"), b.column("side"), b.column("image"), pa.array([" ".join(t) for t in toks], pa.string()), pa.array(numbers, pa.string()), pa.array([forms(t) for t in toks], pa.list_(pa.string()))], names=["sample_id", "task", "side", "image", "toks", "numbers", "forms"])
 
-    schema = "sample_id long, task string, side string, image string, toks string, numbers string, form string"
+    schema = "sample_id long, task string, side string, image string, toks string, numbers string, forms array<string>"
     text = part.where(~F.col("task").isin(*IMAGE_ONLY)).select("sample_id", "task", "side", "image", "query").mapInArrow(canonical, schema)
-    text = text.select("sample_id", "side", F.xxhash64("task", "image", "numbers").alias("block"), F.xxhash64("task", "image", "toks").alias("text_id"), "toks", "form").where("form != ''")
+    text = text.select("sample_id", "side", F.xxhash64("task", "image", "numbers").alias("block"), F.xxhash64("task", "image", "toks").alias("text_id"), "toks", "forms").where("size(forms) > 0")
     text = cut(text)
     members = text.select("sample_id", "side", "text_id")
     # One representative for each distinct text; copies meet again through their members.
-    texts = text.groupBy("text_id").agg(F.first("block").alias("block"), F.first("toks").alias("toks"), F.first("form").alias("form"), F.max(F.col("side") == "eval").alias("in_eval"), F.max(F.col("side") == "train").alias("in_train"))
+    texts = text.groupBy("text_id").agg(F.first("block").alias("block"), F.first("toks").alias("toks"), F.first("forms").alias("forms"), F.max(F.col("side") == "eval").alias("in_eval"), F.max(F.col("side") == "train").alias("in_train"))
     both = texts.groupBy("block").agg(F.max("in_eval").alias("e"), F.max("in_train").alias("t")).where("e and t").select("block")
     texts = cut(texts.join(both, "block", "left_semi"))
 
@@ -271,14 +275,15 @@ def overlaps(samples: DataFrame) -> DataFrame:
             for b in batches:
                 for lo in range(0, len(b), 2000):
                     c = b.slice(lo, 2000)
-                    r, k = segment_keys(c.column("form").to_pylist(), c.column("block").to_numpy(), query)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), c.column("text_id").take(pa.array(r))], names=["key", "text_id"])
+                    of = pc.list_parent_indices(c.column("forms")).to_numpy()
+                    r, k = segment_keys(c.column("forms").flatten().to_pylist(), c.column("block").to_numpy()[of], query)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), c.column("text_id").take(pa.array(of[r]))], names=["key", "text_id"])
 
         return emit
 
     ids = T.StructType([T.StructField("key", T.LongType()), T.StructField("text_id", T.LongType())])
-    ask = texts.where("in_eval").select("form", "block", "text_id").mapInArrow(keyed(True), ids).select("key", F.col("text_id").alias("e"))
-    have = texts.where("in_train").select("form", "block", "text_id").mapInArrow(keyed(False), ids).select("key", F.col("text_id").alias("t"))
+    ask = texts.where("in_eval").select("forms", "block", "text_id").mapInArrow(keyed(True), ids).select("key", F.col("text_id").alias("e"))
+    have = texts.where("in_train").select("forms", "block", "text_id").mapInArrow(keyed(False), ids).select("key", F.col("text_id").alias("t"))
     pairs = ask.join(have, "key").where("e != t").select("e", "t").distinct()
     written = texts.select("text_id", "toks")
     pairs = pairs.join(written.select(F.col("text_id").alias("e"), F.col("toks").alias("e_toks")), "e").join(written.select(F.col("text_id").alias("t"), F.col("toks").alias("t_toks")), "t")
