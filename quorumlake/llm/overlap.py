@@ -18,9 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..tables import cut, latest, table
 
@@ -246,45 +246,147 @@ def sides(samples: DataFrame) -> DataFrame:
     return once.select("sample_id", "task", side.alias("side"), "source", split.alias("split"), image.alias("image"), "query").where(side.isNotNull() & (F.regexp_replace(F.coalesce("query", F.lit("")), r"[\s　\x{00A0}]", "") != ""))
 
 
+def sketches(texts: list[str], words: int = 4) -> np.ndarray:
+    """Bits of the neighbouring characters that occur in each text: an edit flips four at most."""
+    lens = np.array([len(t) for t in texts], np.int64)
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    bits = np.zeros((len(texts), 64 * words), bool)
+    if len(cp) > 1:
+        row = np.repeat(np.arange(len(texts)), lens)
+        own = row[:-1] == row[1:]
+        bits[row[:-1][own], (_mix(cp[:-1][own] * np.uint64(1 << 21) + cp[1:][own]) % np.uint64(64 * words)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+FLIPS = 28  # bits that K edits, another place to begin and minor words can flip, and some more
+PAIRS_AT_ONCE = 4_000_000
+
+
+def _joined(block: np.ndarray, toks: list[str], spelt: list[list[str]], asks: np.ndarray, has: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs (evaluation text, training text) of one record among the texts of some blocks."""
+    of = np.repeat(np.arange(len(spelt)), [len(x) for x in spelt])
+    flat = [x for xs in spelt for x in xs]
+    sides_ = []
+    for use, query in ((asks, True), (has, False)):
+        mine = np.flatnonzero(use[of])
+        r, k = segment_keys([flat[i] for i in mine], block[of[mine]], query)
+        o = np.argsort(k, kind="stable")
+        sides_.append((k[o], of[mine][r][o]))
+    (ek, et), (tk, tt) = sides_
+    lo, hi = np.searchsorted(ek, tk), np.searchsorted(ek, tk, "right")
+    n = hi - lo
+    some = np.flatnonzero(n)
+    shape = sketches([x[-1] if x else "" for x in spelt])
+    seen: set[int] = set()
+    for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(n[some]) // PAIRS_AT_ONCE)) + 1):
+        t = np.repeat(tt[part], n[part])
+        e = et[np.repeat(lo[part], n[part]) + np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])]
+        near = (e != t) & (np.bitwise_count(shape[e] ^ shape[t]).sum(1) <= FLIPS)
+        for x in np.unique(e[near].astype(np.int64) * len(toks) + t[near]).tolist():
+            if x not in seen:
+                seen.add(x)
+                i, j = divmod(x, len(toks))
+                if same_record(toks[i].split(" "), toks[j].split(" ")):
+                    yield i, j
+
+
+MAX_BLOCK = 4096  # samples of one task, image and numbers that one task joins; larger blocks are joined over the cluster
+ROWS = "kind int, a long, b long, block long, toks string, forms array<string>"
+
+
 def overlaps(samples: DataFrame) -> DataFrame:
-    """(eval_id, train_id): every pair of one record across the splits, exact copies included."""
-    from pyspark.sql import types as T
+    """(eval_id, train_id): every pair of one record across the splits, exact copies included.
 
-    part = sides(samples)
-    image_only = part.where(F.col("task").isin(*IMAGE_ONLY)).select("sample_id", "side", "task", "image")
-    by_file = image_only.where("side = 'eval'").select("task", "image", F.col("sample_id").alias("eval_id")).join(image_only.where("side = 'train'").select("task", "image", F.col("sample_id").alias("train_id")), ["task", "image"]).select("eval_id", "train_id")
+    Samples of equal task, image file and numbers form a block. Blocks of up to MAX_BLOCK samples are joined where they lie
+    after one shuffle; the rare larger ones over the cluster, by the same keys and the same verification.
+    """
 
     def canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toks = [tokens(q) for q in b.column("query").to_pylist()]
+            toks = [["image"] if t in IMAGE_ONLY else tokens(q) for t, q in zip(b.column("task").to_pylist(), b.column("query").to_pylist(), strict=True)]
             numbers = [" ".join(sorted(x for x in t if x[0].isdecimal())) for t in toks]
-            yield pa.RecordBatch.from_arrays([b.column("sample_id"), b.column("task"), b.column("side"), b.column("image"), pa.array([" ".join(t) for t in toks], pa.string()), pa.array(numbers, pa.string()), pa.array([forms(t) for t in toks], pa.list_(pa.string()))], names=["sample_id", "task", "side", "image", "toks", "numbers", "forms"])
+            yield pa.RecordBatch.from_arrays([b.column("sample_id"), b.column("task"), b.column("eval"), b.column("image"), pa.array([" ".join(t) for t in toks], pa.string()), pa.array(numbers, pa.string())], names=["sample_id", "task", "eval", "image", "toks", "numbers"])
+
+    part = sides(samples).select("sample_id", "task", (F.col("side") == "eval").alias("eval"), "image", "query")
+    text = part.mapInArrow(canonical, "sample_id long, task string, eval boolean, image string, toks string, numbers string")
+    text = text.where("toks != ''").select("sample_id", "eval", F.xxhash64("task", "image", "numbers").alias("block"), "toks")
+    by_block = Window.partitionBy("block")
+    text = text.withColumns({"n": F.count(F.lit(1)).over(by_block), "e": F.max("eval").over(by_block), "t": F.min("eval").over(by_block)}).where("e and not t").select("block", "n", "sample_id", "eval", "toks")
 
-    schema = "sample_id long, task string, side string, image string, toks string, numbers string, forms array<string>"
-    text = part.where(~F.col("task").isin(*IMAGE_ONLY)).select("sample_id", "task", "side", "image", "query").mapInArrow(canonical, schema)
-    text = text.select("sample_id", "side", F.xxhash64("task", "image", "numbers").alias("block"), F.xxhash64("task", "image", "toks").alias("text_id"), "toks", "forms").where("size(forms) > 0")
-    text = cut(text)
-    members = text.select("sample_id", "side", "text_id")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            large = b.column("n").to_numpy() > MAX_BLOCK
+            if large.any():
+                yield rows(b.filter(pa.array(large)))
+            if not large.all():
+                held.append(b.filter(pa.array(~large)))
+            if sum(map(len, held)) >= 20_000:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                block = whole.column("block").to_numpy()
+                use = int(np.flatnonzero(block != block[-1])[-1]) + 1 if (block != block[-1]).any() else 0
+                if use:
+                    yield pairs(whole.slice(0, use))
+                    held = [whole.slice(use)]
+        if held:
+            yield pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+        spelt = [forms(t.split(" ")) for t in b.column("toks").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(b), np.int32)), b.column("sample_id"), b.column("eval").cast(pa.int64()), b.column("block"), b.column("toks"), pa.array(spelt, pa.list_(pa.string()))], names=["kind", "a", "b", "block", "toks", "forms"])
+
+    def pairs(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, block, is_eval = b.column("sample_id").to_numpy(), b.column("block").to_numpy(), b.column("eval").to_pylist()
+        at: dict[tuple[int, str], int] = {}
+        members: list[tuple[list[int], list[int]]] = []
+        for i, key in enumerate(zip(block.tolist(), b.column("toks").to_pylist(), strict=True)):
+            no = at.setdefault(key, len(members))
+            if no == len(members):
+                members.append(([], []))
+            members[no][0 if is_eval[i] else 1].append(int(ids[i]))
+        toks = [k[1] for k in at]
+        own = np.array([k[0] for k in at], np.int64)
+        asks, has = np.array([bool(m[0]) for m in members]), np.array([bool(m[1]) for m in members])
+        left, right = [], []
+        same = ((i, i) for i in np.flatnonzero(asks & has))
+        for i, j in (*same, *_joined(own, toks, [forms(t.split(" ")) for t in toks], asks, has)):
+            for e in members[i][0]:
+                left += [e] * len(members[j][1])
+                right += members[j][1]
+        n = len(left)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.string()))], names=["kind", "a", "b", "block", "toks", "forms"])
+
+    out = cut(text.mapInArrow(join, ROWS))
+    small = out.where("kind = 0").select(F.col("a").alias("eval_id"), F.col("b").alias("train_id"))
+    large = out.where("kind = 1").select(F.col("a").alias("sample_id"), (F.col("b") == 1).alias("eval"), "block", "toks", "forms")
+    return small if large.isEmpty() else small.unionByName(spread(large))
+
+
+def spread(text: DataFrame) -> DataFrame:
+    """The join of large blocks over the cluster: (eval_id, train_id) of (sample_id, eval, block, toks, forms)."""
+    text = text.withColumn("text_id", F.xxhash64("block", "toks"))
+    members = text.select("sample_id", "eval", "text_id")
     # One representative for each distinct text; copies meet again through their members.
-    texts = text.groupBy("text_id").agg(F.first("block").alias("block"), F.first("toks").alias("toks"), F.first("forms").alias("forms"), F.max(F.col("side") == "eval").alias("in_eval"), F.max(F.col("side") == "train").alias("in_train"))
-    both = texts.groupBy("block").agg(F.max("in_eval").alias("e"), F.max("in_train").alias("t")).where("e and t").select("block")
-    texts = cut(texts.join(both, "block", "left_semi"))
+    texts = cut(text.groupBy("text_id").agg(F.first("block").alias("block"), F.first("toks").alias("toks"), F.first("forms").alias("forms"), F.max("eval").alias("in_eval"), (~F.min("eval")).alias("in_train")))
 
     def keyed(query: bool):  # noqa: ANN202
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for lo in range(0, len(b), 2000):
                     c = b.slice(lo, 2000)
-                    of = pc.list_parent_indices(c.column("forms")).to_numpy()
-                    r, k = segment_keys(c.column("forms").flatten().to_pylist(), c.column("block").to_numpy()[of], query)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), c.column("text_id").take(pa.array(of[r]))], names=["key", "text_id"])
+                    spelt = c.column("forms").to_pylist()
+                    of = np.repeat(np.arange(len(c)), [len(x) for x in spelt])
+                    shape = sketches([x[-1] if x else "" for x in spelt]).view(np.int64)
+                    r, k = segment_keys([x for xs in spelt for x in xs], c.column("block").to_numpy()[of], query)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), c.column("text_id").take(pa.array(of[r])), *(pa.array(shape[of[r], i]) for i in range(shape.shape[1]))], names=["key", "text_id", *(f"s{i}" for i in range(shape.shape[1]))])
 
         return emit
 
-    ids = T.StructType([T.StructField("key", T.LongType()), T.StructField("text_id", T.LongType())])
-    ask = texts.where("in_eval").select("forms", "block", "text_id").mapInArrow(keyed(True), ids).select("key", F.col("text_id").alias("e"))
-    have = texts.where("in_train").select("forms", "block", "text_id").mapInArrow(keyed(False), ids).select("key", F.col("text_id").alias("t"))
-    pairs = ask.join(have, "key").where("e != t").select("e", "t").distinct()
+    ids = "key long, text_id long, " + ", ".join(f"s{i} long" for i in range(4))
+    ask = texts.where("in_eval").select("forms", "block", "text_id").mapInArrow(keyed(True), ids).alias("x")
+    have = texts.where("in_train").select("forms", "block", "text_id").mapInArrow(keyed(False), ids).alias("y")
+    flips = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(4)), F.lit(0))
+    pairs = ask.join(have, (F.col("x.key") == F.col("y.key")) & (F.col("x.text_id") != F.col("y.text_id")) & (flips <= FLIPS)).select(F.col("x.text_id").alias("e"), F.col("y.text_id").alias("t")).distinct()
     written = texts.select("text_id", "toks")
     pairs = pairs.join(written.select(F.col("text_id").alias("e"), F.col("toks").alias("e_toks")), "e").join(written.select(F.col("text_id").alias("t"), F.col("toks").alias("t_toks")), "t")
 
@@ -297,8 +399,7 @@ def overlaps(samples: DataFrame) -> DataFrame:
     near = pairs.select("e", "t", "e_toks", "t_toks").mapInArrow(verify, "e long, t long")
     same = texts.where("in_eval and in_train").select(F.col("text_id").alias("e"), F.col("text_id").alias("t"))
     linked = near.unionByName(same)
-    by_text = linked.join(members.where("side = 'eval'").select(F.col("text_id").alias("e"), F.col("sample_id").alias("eval_id")), "e").join(members.where("side = 'train'").select(F.col("text_id").alias("t"), F.col("sample_id").alias("train_id")), "t").select("eval_id", "train_id")
-    return by_text.unionByName(by_file)
+    return linked.join(members.where("eval").select(F.col("text_id").alias("e"), F.col("sample_id").alias("eval_id")), "e").join(members.where("not eval").select(F.col("text_id").alias("t"), F.col("sample_id").alias("train_id")), "t").select("eval_id", "train_id")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
