@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("overlap", "consensus", "neighbours", "toxicity", "encodings")
+MODULES = ("overlap", "consensus", "neighbours", "toxicity", "encodings", "leakage")
 
 
 def load() -> tuple[dict, dict]:
