@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("overlap", "consensus", "pairs", "neighbours", "toxicity", "encodings", "leakage")
+MODULES = ("overlap", "consensus", "pairs", "neighbours", "toxicity", "leakage", "mixing", "encodings")
 
 
 def load() -> tuple[dict, dict]:
