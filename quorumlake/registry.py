@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("multivalue",)
+MODULES = ("multivalue", "votes", "agreement")
 
 
 def core() -> tuple[dict, dict]:
