@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\r\u000b\u000c 　"
@@ -152,18 +152,23 @@ def last_part(text: Column) -> Column:
     return F.when(after.contains("```"), F.coalesce(F.get(parts, F.lit(0)), after)).otherwise(after)
 
 
-def label_of(annotation: Column, task: Column | str, key: str = "label") -> Column:
-    """The label a model's answer gives for a single-label task; '' for an empty answer.
+def with_label(df: DataFrame, annotation: str = "annotation", out: str = "label", key: str = "label", task: str | None = None) -> DataFrame:
+    """df with the label a model's answer gives for a single-label task; '' for an empty answer.
 
-    Relevance grades are read by score_eval, attribution by only_number; both print as floating point numbers.
+    With a task column, relevance grades are read by score_eval and attribution by only_number, printed as floating point
+    numbers. The tiers are columns of their own on the way, so that none is computed twice.
     """
-    task = F.lit(task) if isinstance(task, str) else task
-    text = last_part(annotation)
-    block = json_block(text)
-    field = F.coalesce(json_field(block, key), json_field(block, "标签"))
-    raw = F.coalesce(none_if_blank(tidy(field)), none_if_blank(key_value(text, key)), none_if_blank(key_value(text, "标签")), F.when(F.lower(text).contains(key), _after_colon(text)), strip(text))
-    graded = F.when(task == "image_text_relevance", score_eval(raw)).when(task == "image_attribution_recognition", only_number(raw))
-    return F.when(annotation.isNull() | (annotation == ""), F.lit("")).otherwise(F.coalesce(graded.cast("string"), raw))
+    step = df.withColumn("_text", last_part(F.col(annotation))).withColumn("_block", json_block(F.col("_text")))
+    text, block = F.col("_text"), F.col("_block")
+    field = none_if_blank(tidy(F.coalesce(json_field(block, key), json_field(block, "标签"))))
+    raw = F.coalesce(field, none_if_blank(key_value(text, key)), none_if_blank(key_value(text, "标签")), F.when(F.lower(text).contains(key), _after_colon(text)), strip(text))
+    step = step.withColumn("_raw", raw)
+    label = F.col("_raw")
+    if task:
+        graded = F.when(F.col(task) == "image_text_relevance", score_eval(label)).when(F.col(task) == "image_attribution_recognition", only_number(label))
+        label = F.coalesce(graded.cast("string"), label)
+    empty = F.col(annotation).isNull() | (F.col(annotation) == "")
+    return step.withColumn(out, F.when(empty, F.lit("")).otherwise(label)).drop("_text", "_block", "_raw")
 
 
 def label_or_error(annotation: Column, key: str) -> Column:

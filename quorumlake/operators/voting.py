@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import entities, entity_key, is_empty, label_of, normalized
+from ..functions.labels import entities, entity_key, is_empty, normalized, with_label
 
 SLOTS = 5
 
@@ -73,7 +73,8 @@ def agent_vote(answers: DataFrame, keys: list[str], agent: str = "agent_name", a
 
     Entity answers vote as sets; a missing answer is an empty label.
     """
-    label = F.when(F.col(task) == "entity_extraction", F.coalesce(entity_key(entities(F.col(annotation))), F.lit(""))).otherwise(label_of(F.col(annotation), F.col(task)))
+    answers = with_label(answers, annotation, "_label", task=task)
+    label = F.when(F.col(task) == "entity_extraction", F.coalesce(entity_key(entities(F.col(annotation))), F.lit(""))).otherwise(F.col("_label"))
     rows = answers.select(*keys, task, F.struct(F.col(agent).alias("agent"), F.coalesce(label, F.lit("")).alias("label"), F.coalesce(annotation, F.lit("")).alias("raw")).alias("a"))
     grouped = rows.groupBy(*keys, task).agg(F.array_sort(F.collect_list("a")).alias("a"))
     return grouped.withColumn("vote", hard_vote(F.col("a.label"), F.col("a.raw"))).select(*keys, task, "vote.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("multivalue", "votes", "agreement", "retrieval", "ordered")
+MODULES = ("multivalue", "votes", "agreement", "retrieval", "ordered", "evaluation")
 
 
 def core() -> tuple[dict, dict]:
