@@ -38,9 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def sweep(spark: SparkSession) -> None:
     """Let Spark drop shuffle files whose lineage was cut: plans that are no longer held are collected on both sides."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)  # the cleaner works on its own thread
+    for _ in range(2):  # plans let go in the first round free their shuffles in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works on its own thread
 
 
 MANY = 200_000  # repeated keys that may travel with each task; beyond, rows are grouped
