@@ -42,10 +42,9 @@ def _code_points(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum(lens)])
 
 
-def _runs(cp: np.ndarray, mark: int, first: np.ndarray) -> np.ndarray:
-    """At each place the length of the run of `mark` that ends there; runs don't cross rows."""
-    hit = cp == mark
-    at = np.arange(len(cp))
+def _runs(hit: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """At each place the length of the run of hits that ends there; runs don't cross rows."""
+    at = np.arange(len(hit))
     start = hit & (first | ~np.concatenate([[False], hit[:-1]]))
     began = np.maximum.accumulate(np.where(start, at, -1))
     return np.where(hit, at - began + 1, 0)
@@ -96,7 +95,7 @@ def split_batch(col: pa.Array, protected: list[str]) -> pa.ListArray:
         for j in inner:
             kept[spots + j] = True
     edge = (sep & ~kept) | bracket
-    escaped = np.concatenate([[False], (_runs(cp, _BACKSLASH, first) % 2 == 1)[:-1]]) & ~first
+    escaped = np.concatenate([[False], (_runs(cp == _BACKSLASH, first) % 2 == 1)[:-1]]) & ~first
     starts = ((before < 0) | edge[np.maximum(before, 0)]) & ~escaped
     # Line ends and tabs are white space and separators at once: a mark just after one starts a value too.
     prior = np.concatenate([[False], edge[:-1]]) & ~first
@@ -113,16 +112,21 @@ def split_batch(col: pa.Array, protected: list[str]) -> pa.ListArray:
     stops |= nxt & ~escaped
     opens, shuts = [], {}
     kind = np.zeros(size, np.int8)
+    beyond, own_end = at + 1, np.full(size, size)
     for k, (a, b) in enumerate(QUOTES.items(), 1):
         begin = (cp == ord(a)) & starts
         kind[begin] = k
         opens.append(np.flatnonzero(begin))
         end = (cp == ord(b)) & stops
-        if a == b:  # a doubled mark stands for itself: only a run of odd length, or of even length from an opener, ends a value
-            run = _runs(cp, ord(a), first)
-            origin = at - run + 1
-            own = end & (run > 0) & starts[np.clip(origin, 0, size - 1)]
-            end &= np.where(own, run % 2 == 0, run % 2 == 1)
+        if a == b:  # a doubled mark stands for itself: a value ends with a run of odd length, or of even length from its opener
+            hit = (cp == ord(a)) & ~escaped
+            run = _runs(hit, first)
+            more = np.concatenate([hit[1:] & ~first[1:], [False]])
+            last = np.minimum.accumulate(np.where(hit & ~more, at, size)[::-1])[::-1]
+            even = begin & ((last - at) % 2 == 1) & end[np.minimum(last, size - 1)]
+            beyond[begin] = last[begin] + 1
+            own_end[even] = last[even]
+            end &= run % 2 == 1
         shuts[k] = np.flatnonzero(end)
     opens = np.sort(np.concatenate(opens))
     begin, finish = np.zeros(size, np.int8), np.zeros(size, np.int8)
@@ -139,8 +143,9 @@ def split_batch(col: pa.Array, protected: list[str]) -> pa.ListArray:
         for k, places in shuts.items():
             mine = np.flatnonzero(kind[o] == k)
             if len(mine) and len(places):
-                j = np.searchsorted(places, o[mine] + 1)
+                j = np.searchsorted(places, beyond[o[mine]])
                 shut[mine] = np.where(j < len(places), places[np.minimum(j, len(places) - 1)], size)
+        shut = np.where(own_end[o] < size, own_end[o], shut)
         closed = shut < hi[active]
         begin[o[closed]], finish[shut[closed]] = 1, 1
         cur[active] = np.where(closed, shut, o) + 1
