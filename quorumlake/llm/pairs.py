@@ -122,8 +122,10 @@ def is_copy(answer: str, query: str | None) -> bool:
     if a in q or q in a and len(a) <= 1.3 * len(q):
         return True
     dictionary = zstandard.ZstdCompressionDict(q * (1 if len(q) > 64 else 64 // len(q) + 1), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packed = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False).compress(a)
-    return (len(packed) - 9) / len(a) <= COPIED
+    small = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    packed = len(zstandard.ZstdCompressor(dict_data=dictionary, **small).compress(a)) - 9
+    alone = len(zstandard.ZstdCompressor(**small).compress(a)) - 9  # what repeats itself is no copy for that
+    return packed <= COPIED * len(a) and packed <= 0.6 * alone
 
 
 def language(text: str) -> str | None:
@@ -277,7 +279,7 @@ def defects(results: DataFrame) -> DataFrame:
     one = seen.select(F.col("context").alias("last"), F.col("n").alias("n1"), F.col("n_end").alias("e1"))
     joined = first.join(two, "pair", "left").join(one, "last", "left")
     # An ending passes where its context ends things elsewhere too; what has no mark of an end must do so in its own right.
-    rare = F.when(F.col("n2") >= SEEN, F.col("e2") < ENDS * F.col("n2")).otherwise(F.coalesce(F.col("e1") < ENDS * F.col("n1"), F.lit(False)) | F.coalesce(F.col("n1") <= 1, F.lit(False)))
+    rare = F.when(F.col("n2") >= SEEN, F.col("e2") < ENDS * F.col("n2")).otherwise(F.coalesce(F.col("e1") < ENDS * F.col("n1"), F.lit(False)) | (F.coalesce(F.col("n1") <= 1, F.lit(False)) & (F.col("words") > 3) & ~F.col("other")))
     cut_off = F.col("pair").isNotNull() & ((~F.col("stop") & (F.col("words") > 6)) | rare)
     verdict = F.when(F.col("defect").isNotNull(), F.col("defect")).when(cut_off, "truncated").when(F.col("other"), "other_language")
     return joined.select("result_id", verdict.alias("defect")).where("defect is not null")
