@@ -38,10 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def sweep(spark: SparkSession) -> None:
     """Let Spark drop shuffle files whose lineage was cut: plans that are no longer held are collected on both sides."""
-    for _ in range(2):  # plans let go in the first round free their shuffles in the second
+    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    before = -1
+    for n in range(6):  # plans let go in one round free their shuffles in the next; the cleaner works on its own thread
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)  # the cleaner works on its own thread
+        time.sleep(0.4)
+        now = held.size()
+        if not now or n > 1 and now == before:
+            break
+        before = now
 
 
 MANY = 200_000  # repeated keys that may travel with each task; beyond, rows are grouped
