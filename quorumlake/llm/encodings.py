@@ -2,16 +2,19 @@
 
 From every distinct clean word of the corpus (words with characters beyond ASCII, single such characters, and pairs of
 neighbours where a chain works on two at once) its garbled forms under all encoding chains are made, and joined by hash
-with the tokens of the documents. A form counts where the word it comes from is far more common than the form itself, so
-that words that are right as they stand are left alone. Verified originals are put back.
+with the tokens of the documents. A form that no ordinary text has, verified by undoing its chain, counts however common it
+is. Any other counts only where the word it comes from is far more common than the form itself, so that words that are right
+as they stand are left alone. Verified originals are put back.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +22,8 @@ from pyspark.sql.window import Window
 
 from ..tables import cut, table
 
-RATIO = 4  # documents with the word for each document with the garbled form, at least
+RATIO = 4  # texts with the word for each text with a garbled form that could be ordinary text, at least
+FILTER = 24  # bits of the hash by which forms that no text has are dropped before the join
 MAX_TRAVEL = 400_000  # garbled forms found that may travel with each task; beyond, tokens are joined over the cluster
 WEAK = 3  # different garbled forms needed where each alone could be ordinary text
 MAX_TOKEN = 40
@@ -116,6 +120,8 @@ def _weak(form: str) -> bool:
     return all("㐀" <= c <= "鿿" or "가" <= c <= "힯" or "぀" <= c <= "ヿ" or c == "�" for c in form) or all("À" <= c <= "ÿ" and c not in "×÷" for c in form) or len(form) == 1
 
 
+_GB2312 = {c for i in range(0xA1, 0xF8) for j in range(0xA1, 0xFF) if len(c := bytes([i, j]).decode("gb2312", "ignore")) == 1}
+_CLOSED = re.compile(r"[A-ZÀ-ÖØ-Þ]+[”’“‘»«›‹…–—•°ºª]+")  # capitals with marks behind them, as in “MAÇÔ
 _LATIN_RUN = re.compile(r"[\x80-\xff]{4,}")
 
 
@@ -138,44 +144,99 @@ def evidence(own: dict[str, tuple[str, int]], text: str) -> bool:
     return strong > 0 or weak >= (1 if "�" in text else WEAK) or (single >= 2 and "�" in text)
 
 
+def _certain(form: str, word: str, chain: tuple) -> bool:
+    """Whether a form shows by itself that its chain was at work, so that it need not be rarer than its word.
+
+    No ordinary text may look like it, and undoing the chain must give the word. UTF-8 checks itself; of other encodings
+    nearly any bytes are text, so there it takes letters and signs mixed, four or more. Text read as Han characters is certain
+    only within Latin words, by characters rare in Chinese. Where characters were dropped, three that are left must still mix
+    letters and signs.
+    """
+    if _weak(form) or "�" in form:
+        return False
+    beyond = [c for c in form if not c.isascii()]
+    mixed = any(c.isalpha() for c in beyond) and not all(c.isalpha() for c in beyond)
+    exact = _unread(form, chain) == word
+    if chain[-1][1] in DOUBLE:
+        rare = any(c not in _GB2312 for c in beyond)
+        return chain[-1][0] == "utf-8" and rare and sum(c.isascii() and c.isalpha() for c in form) >= 2 and all(c < "⺀" for c in word) and exact
+    if any(source != "utf-8" for source, _ in chain):
+        return exact and len(beyond) >= 4 and mixed and chain[-1][1] in _TABLE
+    top = "ɏ" if chain[-1][1] == "cp1250" else "ÿ"
+    if all("À" <= c <= top and c not in "×÷" for c in beyond) or all("Ѐ" <= c <= "ӿ" for c in beyond) or _CLOSED.fullmatch(form):
+        return False
+    return exact or (mixed and len(beyond) >= 3)
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(token, df): in how many documents each token stands."""
+    """(token, df, n): in how many different texts each token stands, and in how many documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter[str] = Counter()
+        df: Counter[str] = Counter()
+        more: Counter[str] = Counter()  # copies beyond the first
         for b in batches:
-            for t in b.column("text").to_pylist():
-                c.update(tokens(t))
-            if len(c) > 300_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
-                c = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
+            for t, n in zip(b.column("text").to_pylist(), b.column("copies").to_pylist(), strict=True):
+                own = tokens(t)
+                df.update(own)
+                if n > 1:
+                    more.update(dict.fromkeys(own, n - 1))
+            if len(df) > 300_000:
+                yield counted(df, more)
+                df, more = Counter(), Counter()
+        yield counted(df, more)
 
-    return docs.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("df"))
+    def counted(df: Counter[str], more: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([k + more[t] for t, k in df.items()], pa.int64())], names=["token", "df", "n"])
 
+    texts = docs.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
+    return texts.mapInArrow(count, "token string, df long, n long").groupBy("token").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
 
-def garbled_forms(words: DataFrame) -> DataFrame:
-    """(token, df) -> (form, word, word_df, chain) under all chains."""
+
+def _seen(words: DataFrame) -> bytes:
+    """A bit for each hash that some token has; where all are set, nothing is dropped by it."""
+    at = words.select(F.crc32(F.col("token").cast("binary")).bitwiseAND((1 << FILTER) - 1).alias("at"))
+    rows = at.groupBy(F.expr("shiftright(at, 6)").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER - 6, np.int64)
+    bits[rows.column("i").to_numpy()] = rows.column("bits").to_numpy()
+    return bits.astype("<i8").tobytes()
+
+
+def garbled_forms(words: DataFrame, seen: bytes) -> DataFrame:
+    """(token, df, n) -> (form, word, word_df, word_n, chain, certain) under all chains, of forms that may stand in a text.
+
+    Words too rare for RATIO give certain forms only.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for w, df in zip(b.column("token").to_pylist(), b.column("df").to_pylist(), strict=True):
+            for w, df, n in zip(b.column("token").to_pylist(), b.column("df").to_pylist(), b.column("n").to_pylist(), strict=True):
                 if _is_word(w):
-                    rows += [(f, w, df, no) for no, chain in enumerate(CHAINS) for f in garbled(w, chain)]
-            f, w, df, no = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(w, pa.string()), pa.array(df, pa.int64()), pa.array(no, pa.int32())], names=["form", "word", "word_df", "chain"])
+                    for no, chain in enumerate(CHAINS):
+                        for f in garbled(w, chain):
+                            h = zlib.crc32(f.encode()) & (1 << FILTER) - 1
+                            if seen[h >> 3] >> (h & 7) & 1 and ((sure := _certain(f, w, chain)) or n >= RATIO):
+                                rows.append((f, w, df, n, no, sure))
+            f, w, df, n, no, sure = zip(*rows, strict=True) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(w, pa.string()), pa.array(df, pa.int64()), pa.array(n, pa.int64()), pa.array(no, pa.int32()), pa.array(sure, pa.bool_())], names=["form", "word", "word_df", "word_n", "chain", "certain"])
 
-    return words.mapInArrow(make, "form string, word string, word_df long, chain int")
+    return words.mapInArrow(make, "form string, word string, word_df long, word_n long, chain int, certain boolean")
 
 
 def found_forms(docs: DataFrame) -> DataFrame:
-    """(form, word, chain): tokens of the documents that are garbled forms of far commoner words; one word per form."""
+    """(form, word, chain): tokens of the documents that are certain garbled forms, or forms of far commoner words; one word
+    per form.
+
+    How common is told by different texts or by documents: copies of a garbled text don't make its forms common.
+    """
     words = cut(vocabulary(docs))
-    table_ = garbled_forms(words.where(F.col("df") > RATIO - 1).repartition("token"))
-    hits = words.withColumnRenamed("token", "form").join(table_, "form").where(F.col("word_df") >= RATIO * F.col("df"))
-    best = F.row_number().over(Window.partitionBy("form").orderBy(F.desc("word_df"), "chain", "word"))
-    return hits.withColumn("rank", best).where("rank = 1").select("form", "word", "chain")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table_ = garbled_forms(words.repartition(parts, "token"), _seen(words))
+    common = (F.col("word_df") >= RATIO * F.col("df")) | (F.col("word_n") >= RATIO * F.col("n"))
+    hits = cut(words.withColumnRenamed("token", "form").join(table_, "form").where(F.col("certain") | common))
+    again = hits.where("certain").select(F.col("form").alias("word")).distinct().withColumn("again", F.lit(True))
+    best = F.row_number().over(Window.partitionBy("form").orderBy(F.col("again").isNotNull(), F.desc("word_n"), "chain", "word"))  # clean words first
+    return hits.join(again, "word", "left").withColumn("rank", best).where("rank = 1").select("form", "word", "chain")
 
 
 def _unread(text: str, chain: tuple) -> str | None:

@@ -59,3 +59,32 @@ def test_joined_over_the_cluster_alike(spark):
 def test_empty(spark):
     assert run(spark, ["", None]) == {}
     assert E.affected(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def spread(k):
+    """Different texts with the same words beyond ASCII."""
+    return f"Note {'abcdefghij'[k % 10]}{k}: the façade, it’s said, was naïve; são {k * 7}."
+
+
+def test_copies_of_a_garbled_text(spark):
+    bad = garble(CLEAN[3], (("gbk", "big5"),))  # ordinary-looking forms, told by different texts
+    texts = [f"{k}: {CLEAN[3]}" for k in range(20)] + [bad] * 10 + [garble(spread(3), (("utf-8", "cp1252"),))] * 10
+    assert sorted(run(spark, texts)) == list(range(20, 40))
+
+
+@pytest.mark.parametrize("chain", [(("utf-8", "cp1252"),), (("utf-8", "mac_roman"),), (("utf-8", "gbk"),), (("utf-8", "cp1252"), ("utf-8", "cp1252"))])
+def test_a_third_of_all_rows_garbled(spark, chain):
+    got = run(spark, [garble(spread(k), chain) if k % 3 == 0 else spread(k) for k in range(60)])
+    assert sorted(got) == list(range(0, 60, 3))
+    assert chain[0][1] == "gbk" or all(got[k].restored == spread(k) for k in got)
+
+
+def test_rare_words(spark):
+    texts = [CLEAN[0], garble(CLEAN[0], (("utf-8", "cp1252"),)), "“MAÇÔ e Ô, Ô"]
+    assert sorted(run(spark, texts)) == [1]
+
+
+def test_ordinary_text_is_no_form_of_a_garbled_one(spark):
+    plain = "两个标签都合适时，当班组长会等8周再问一次，还是不明白“绗缝”指什么。"
+    odd = [E._step(plain, "gbk", "big5"), E._unread("绗缝”", (("utf-8", "gbk"),)) or ""]
+    assert not {0, 1, 2} & set(run(spark, [f"{k}: {plain}" for k in range(3)] + odd))
