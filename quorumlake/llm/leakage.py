@@ -130,8 +130,10 @@ class Items:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(w_all), np.concatenate(e_all)
 
-    def leaked(self, doc: list[str], item: list[str], d: int, i: int) -> float:
-        """The share of the item's characters in the stretch around a place where both agree; 0 if it fails."""
+    def leaked(self, doc: list[str], item: list[str], d: int, i: int) -> tuple[float, int, int]:
+        """The share of the item's characters in the stretch around a place where both agree, 0 if it fails; and the run of
+        the item's tokens (first, end) that agree around the place without a change.
+        """
         size = [len(w) for w in item]
         total = sum(size)
         right = _follow(doc, item, d, i, 1)
@@ -146,7 +148,7 @@ class Items:
                 agreed = sum(weigh[w] for w in same1) + sum(weigh[w] for w in same2)
                 if agreed >= MIN_SIMILARITY * sum(weigh[w] for w in stretch):
                     best = share
-        return best
+        return best, left[0][0] + 1, right[0][0]
 
     def search(self, texts: list[list[str]]) -> list[tuple[int, int, float]]:
         """(text number, item id, share) of all leaks in some texts."""
@@ -155,7 +157,7 @@ class Items:
         owner = np.repeat(np.arange(len(texts)), lens)
         prints = self.prints(texts, list(self.index))
         found: dict[tuple[int, int], float] = {}
-        tried: set[tuple[int, int, int]] = set()
+        tried: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # runs of the item verified, by document, item, diagonal
         for s, (at, fp) in prints.items():
             if not len(fp):
                 continue
@@ -164,16 +166,23 @@ class Items:
             for x, item, i in zip(at[w].tolist(), no[e].tolist(), pos[e].tolist(), strict=True):
                 t = int(owner[x])
                 d = x - int(first[t])
-                if found.get((t, item), 0) >= 0.999 or (t, item, d - i) in tried:
+                if found.get((t, item), 0) >= 0.999:
                     continue
-                tried.add((t, item, d - i))
                 doc, words = texts[t], self.rows[item][1]
-                for k in range(s):  # begin where the two really agree
-                    if doc[d + k] == words[i + k]:
-                        share = self.leaked(doc, words, d + k, i + k)
+                runs = tried.setdefault((t, item, d - i), [])
+                k = 0
+                while k < s:  # wherever the two really agree; a run is followed once, from any of its tokens alike
+                    end = next((e for b, e in runs if b <= i + k < e), 0)
+                    if end:
+                        k = end - i
+                    elif doc[d + k] == words[i + k]:
+                        share, b, e = self.leaked(doc, words, d + k, i + k)
+                        runs.append((b, e))
                         if share > found.get((t, item), 0):
                             found[t, item] = share
-                        break
+                        k = e - i
+                    else:
+                        k += 1
         return [(t, self.rows[item][0], share) for (t, item), share in found.items()]
 
 

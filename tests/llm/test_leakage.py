@@ -77,3 +77,16 @@ def test_radius_is_complete():
     got = set(zip(w.tolist(), e.tolist(), strict=True))
     want = {(i, j) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count(fp[i] ^ own) <= K.RADIUS).tolist()}
     assert got == want
+
+
+def test_second_stretch_on_a_diagonal():
+    """The start of an item, many changed places of equal length, then more than half word for word."""
+    words = ["".join(chr(97 + (n * 7 + k * k + k) % 26) for k in range(6)) + chr(97 + n // 26) * 3 for n in range(100)]
+    doc = [*words]
+    for n in range(22, 40, 3):
+        doc[n] = "other"
+    doc[41] = doc[44] = doc[45] = "more"
+    index = K.Items([(7, " ".join(words))])
+    other = ["before"] * 9
+    (got,) = index.search([K.tokens(" ".join(other + doc + other))])
+    assert got[:2] == (0, 7) and got[2] >= 0.5
