@@ -15,6 +15,10 @@ def found(spark, docs, items=None):
     return {(r.doc_id, r.item_id) for r in K.leaks(d, i).collect()}
 
 
+def search(index, texts):
+    return index.search(texts, K.prints(texts, list(index.index), index.weight))
+
+
 @pytest.mark.parametrize(
     ("text", "leak"),
     [
@@ -35,7 +39,7 @@ def test_cases(spark, text, leak):
     assert bool(found(spark, [text])) is leak
 
 
-def test_items_in_several_passes(spark):
+def test_items_in_several_blocks(spark):
     d = spark.createDataFrame([(0, ITEM), (1, ZH), (1, ZH)], "doc_id long, text string")
     i = spark.createDataFrame([(1, ITEM), (2, ZH), (3, None), (None, ITEM)], "item_id long, text string")
     want = sorted([(0, 1), (1, 2), (1, 2)])
@@ -49,7 +53,7 @@ def test_against_brute_force():
     random.seed(8)
     words = [f"w{i}" for i in range(400)]
     items = [(n, " ".join(random.choices(words, k=random.randint(30, 90)))) for n in range(40)]
-    index = K.Items(items)
+    index = K.Items(items, {})
     docs, want = [], set()
     for n, (i, text) in enumerate(items):
         w = text.split()
@@ -60,14 +64,14 @@ def test_against_brute_force():
             part[len(part) // 3] = "changed"
         docs.append(random.choices(words, k=50) + part + random.choices(words, k=50))
         want.add((n, i))
-    assert {(a, b) for a, b, _ in index.search([K.tokens(" ".join(d)) for d in docs])} >= want
+    assert {(a, b) for a, b, _ in search(index, [K.tokens(" ".join(d)) for d in docs])} >= want
 
 
 def test_radius_is_complete():
     import numpy as np
 
     rng = np.random.default_rng(5)
-    index = K.Items([(0, " ".join(f"t{i}" for i in range(200)))])
+    index = K.Items([(0, " ".join(f"t{i}" for i in range(200)))], {})
     (s, (own, _, _, _)), = index.index.items()
     fp = own[rng.integers(len(own), size=200)].copy()
     for j in range(len(fp)):
@@ -86,7 +90,35 @@ def test_second_stretch_on_a_diagonal():
     for n in range(22, 40, 3):
         doc[n] = "other"
     doc[41] = doc[44] = doc[45] = "more"
-    index = K.Items([(7, " ".join(words))])
+    index = K.Items([(7, " ".join(words))], {})
     other = ["before"] * 9
-    (got,) = index.search([K.tokens(" ".join(other + doc + other))])
+    (got,) = search(index, [K.tokens(" ".join(other + doc + other))])
     assert got[:2] == (0, 7) and got[2] >= 0.5
+
+
+def test_short_stretch_before_a_long_one(spark):
+    """Words 0 to 24, fifteen others, words 40 to 99: the second stretch counts, though both lie on one diagonal."""
+    words = ["w" + "".join(chr(97 + int(c)) for c in str(n)) for n in range(100)]
+    doc = words[:25] + [f"other{chr(97 + n)}" for n in range(15)] + words[40:]
+    assert found(spark, [" ".join(doc)], [(1, " ".join(words))]) == {(0, 1)}
+
+
+def test_short_items(spark):
+    """Items of a few words: half of one, also with a word changed behind a whole window."""
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima"
+    assert found(spark, ["so alpha bravo charlie delta echo foxtrot golf hotel then", "alpha bravo other", "delta echo foxtrot other hotel india juliet kilo"], [(1, item)]) == {(0, 1), (2, 1)}
+
+
+def test_prints_do_not_depend_on_the_steps():
+    import numpy as np
+
+    random.seed(3)
+    words = [f"t{chr(97 + n % 26)}{chr(97 + n // 26)}" for n in range(300)]
+    texts = [random.choices(words, k=n) for n in (9_000, 3, 40, 5_000)]
+    whole = K.prints(texts, [8, 22], {"taa": 1})
+    for n, t in enumerate(texts):
+        alone = K.prints([t], [8, 22], {"taa": 1})
+        lo = sum(map(len, texts[:n]))
+        for s in (8, 22):
+            mine = (whole[s][0] >= lo) & (whole[s][0] < lo + len(t))
+            assert np.array_equal(whole[s][1][mine], alone[s][1]) and np.array_equal(whole[s][0][mine] - lo, alone[s][0])
