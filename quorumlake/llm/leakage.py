@@ -4,7 +4,8 @@ Weighted SimHash fingerprints of windows of each item meet those of all windows
 16-bit blocks, which finds every pair within three differing bits. Since half an item already counts and words in it may be
 changed, a window is a fifth of its item: any such half then holds a window without a change. Candidates are verified
 exactly: the stretch the two share is followed in both directions over at most CHANGES changed places, must hold half of the
-item's characters, and its shingles of two tokens, weighted by rarity among the items, must agree to MIN_SIMILARITY.
+item's characters, and its shingles of two tokens, weighted by rarity among the items, must agree to MIN_SIMILARITY
+(or all its words but one).
 
 Items are the stated query set: they are indexed in blocks, each broadcast for itself, and every document is read, tokenised
 and fingerprinted once, whatever the number of blocks.
@@ -121,8 +122,8 @@ class Items:
             if share >= HALF and share > best:
                 runs = [(first, end), *((a, b) for a, b in right[1 : c + 1]), *((b + 1, a + 1) for a, b in back[1:])]
                 agreed = sum(shingles[b - 1] - shingles[a] for a, b in runs if b - a > 1)
-                whole = shingles[i2 - 1] - shingles[i1]
-                if agreed >= MIN_SIMILARITY * whole:
+                one_word = i2 - i1 - sum(b - a for a, b in runs) <= 1  # of a few words only, one counts for much
+                if one_word or agreed >= MIN_SIMILARITY * (shingles[i2 - 1] - shingles[i1]):
                     best = share
         return best, end
 
