@@ -2,31 +2,36 @@
 
 From every distinct clean word of the corpus (words with characters beyond ASCII, single such characters, and pairs of
 neighbours where a chain works on two at once) its garbled forms under all encoding chains are made, and joined by hash
-with the tokens of the documents. A form that no ordinary text has, verified by undoing its chain, counts however common it
-is. Any other counts only where the word it comes from is far more common than the form itself, so that words that are right
-as they stand are left alone. Verified originals are put back.
+with the tokens of the documents. No word is too rare or too long. What travels with each task is two bit tables of bounded
+size that tell which tokens and which forms cannot meet; tokens and forms themselves stay on the cluster. A form that no
+ordinary text has, verified by undoing its chain, counts however common it is. Any other counts only where the word it comes
+from is far more common than the form itself, so that words that are right as they stand are left alone. Verified originals
+are put back.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..tables import cut, table
 
 RATIO = 4  # texts with the word for each text with a garbled form that could be ordinary text, at least
-FILTER = 24  # bits of the hash by which forms that no text has are dropped before the join
-MAX_TRAVEL = 400_000  # garbled forms found that may travel with each task; beyond, tokens are joined over the cluster
+BITS = (16, 27)  # logarithm of a bit table's size, at least and at most (16 MB); where all bits are set, it drops nothing
+BITS_EACH = 256  # bits for each entry within these limits
+BROADCAST = 400_000  # garbled forms found that the JVM joins by broadcast (some 40 MB); beyond, both sides are shuffled
+SALTS = 16  # ways a form that very many documents hold is split then
 WEAK = 3  # different garbled forms needed where each alone could be ordinary text
-MAX_TOKEN = 40
+CHARS = 400_000  # characters split into tokens at once
+TEXTS = 4096  # texts split at once, at most
+WORDS = 20_000  # words garbled at once
 
 # Encodings a text may have been in, and ones it may have been read as.
 SINGLE = ("cp1252", "latin-1", "mac_roman", "cp1251", "cp437", "cp850", "cp866", "koi8_r", "cp1250")
@@ -56,13 +61,59 @@ def garbled(word: str, chain: tuple) -> set[str]:
         out = _step(out, source, read)
         if out is None or out == word:
             return set()
-    forms = {out, _C1.sub("", out), _SOFT.sub("", out)}
+    return {f for f in _variants(word, out, chain) if f and f != word and not f.isascii()}
+
+
+_ENDS = re.compile(r"(?m)^[ \t\r\xa0]+|[ \t\r\xa0]+$")
+
+
+def _variants(text: str, out: str, chain: tuple) -> list[str]:
+    """What a chain made of a text (lines of it, one word each), and what is left when characters are lost on the way."""
+    forms = [out]
+    for lost in (_C1, _SOFT):
+        if lost.search(out):
+            forms.append(lost.sub("", out))
     if len(chain) == 2:  # dropped between the steps
-        first = _step(word, *chain[0])
+        first = _step(text, *chain[0])
         for less in {_C1.sub("", first), _SOFT.sub("", first), first.replace("\xa0", " ")} - {first}:
-            forms.add(_step(less, *chain[1]) or "")
-            forms.add(_C1.sub("", _step(less, *chain[1]) or ""))
-    return {f for x in forms if (f := x.strip(" \t\n\r\xa0")) and f != word and not f.isascii()}
+            more = _step(less, *chain[1]) or ""
+            forms += [more, _C1.sub("", more)] if _C1.search(more) else [more]
+    return [_ENDS.sub("", f) for f in forms]
+
+
+ALL = range(len(CHAINS))
+TOGETHER = [no for no, chain in enumerate(CHAINS) if chain[-1][1] in DOUBLE]  # that read bytes of two characters as one
+
+
+def garbled_lists(words: list[str], chains: Iterable[int] = ALL) -> Iterator[tuple[int, list[str]]]:
+    """(chain number, the forms of all words in their order): as garbled(), many words at once; "" where there is none.
+
+    Words must hold no line feed: they are converted as lines of one text. No multi-byte character can swallow one.
+    """
+    text = "\n".join(words)
+    for no in chains:
+        chain = CHAINS[no]
+        source = chain[0][0]
+        raw = text.encode(source, "xmlcharrefreplace").decode(source)
+        if raw == text:
+            fit, lines = None, text
+        else:  # words that the encoding cannot write take no part
+            fit = [i for i, (a, b) in enumerate(zip(words, raw.split("\n"), strict=True)) if a == b]
+            lines = "\n".join([words[i] for i in fit])
+        out: str | None = lines
+        for step in chain:
+            out = _step(out, *step) if out is not None else None
+        if out is None or (fit is not None and not fit):
+            continue
+        for forms in _variants(lines, out, chain):
+            made = forms.split("\n")
+            if fit is None:
+                yield no, made
+            elif len(made) == len(fit):
+                full = [""] * len(words)
+                for i, f in zip(fit, made, strict=True):
+                    full[i] = f
+                yield no, full
 
 
 def _leads(read: str) -> re.Pattern:
@@ -73,44 +124,115 @@ def _leads(read: str) -> re.Pattern:
 
 
 _LEADS = {e: _leads(e) for e in ("cp1252", "latin-1", "mac_roman", "cp1251", "cp437")}
+_LEAD = re.compile("|".join(p.pattern for p in _LEADS.values()))
 _TWICE = re.compile(r"Ã[^Ã\x00-\x7f]{2,9}")
 _PAIRS = re.compile(r"[\xa1-\xfe]{4,}")
 _BEYOND = re.compile(r"[^\x00-\x7f]+")
 _LETTERS = re.compile(r"[^\W\d_\x00-\x7f㐀-鿿]+")
-_SPLIT = re.compile(r"[ \t\n\r　\x0b\x0c|{}\[\]<>]+")
+_SPLIT = re.compile(r"[ \t\n\r\x0b\x0c|{}\[\]<>]+|[\u3000-\u303f\u3400-\u9fff\uff00-\uffef]{4,}")  # blanks, and text in Han characters
 _EDGE = "0123456789.,;:!?()\"'%#*/+=&-"
+_OTHER = re.compile(r"[A-Za-z\x80-\u2e7f]")
+_ODD = re.compile(r"[\x80-\u2e7f]")
 
 
-def tokens(text: str) -> set[str]:
-    """All tokens of a text that can be a word beyond ASCII or a garbled form of one."""
+def pieces(text: str) -> set[str]:
+    """Tokens of a text that are longer than three characters or hold ASCII: words of any length, and runs of characters
+    that a chain makes of one.
+    """
     out: set[str] = set()
-    if text.isascii():
-        return out
     for w in _SPLIT.split(text):
         if not w.isascii():
             w = w.strip(_EDGE)
-            if 0 < len(w) <= MAX_TOKEN:
+            if w and _OTHER.search(w):
                 out.add(w)
+    if _ODD.search(text):
+        if _LEAD.search(text):
+            for p in _LEADS.values():
+                out.update(p.findall(text))
+        if "Ã" in text:
+            out.update(x.strip() for x in _TWICE.findall(text))
+        out.update(_LETTERS.findall(text))
+    return {t for t in out if len(t) > 3 or t.encode("ascii", "ignore")}
+
+
+def tokens(text: str) -> set[str]:
+    """All tokens of a text that can be a word beyond ASCII or a garbled form of one: pieces(), and every run of one to three
+    characters beyond ASCII.
+    """
+    if text.isascii():
+        return set()
+    out = pieces(text)
     for run in _BEYOND.findall(text):
         out.update(run)
         out.update(map("".join, zip(run, run[1:], strict=False)))
         out.update(map("".join, zip(run, run[1:], run[2:], strict=False)))
-    odd = not text.isascii() and any("\x80" <= c < "⺀" for c in text)
-    if odd:
-        for p in _LEADS.values():
-            out.update(p.findall(text))
-        if "Ã" in text:
-            out.update(x.strip() for x in _TWICE.findall(text))
-        for run in _PAIRS.findall(text):
-            out.update(run[i : i + 2] for i in range(0, len(run) - 1, 2))
-        out.update(x for x in _LETTERS.findall(text) if len(x) <= MAX_TOKEN)
-    out.discard("")
     return out
 
 
+_B = np.uint64(0x9E3779B97F4A7C15)
+_BI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def hashes(strings: list[str]) -> np.ndarray:
+    """A 64-bit hash of each string: a polynomial over its characters, mixed."""
+    cp = _points("".join(strings))
+    lens = np.fromiter(map(len, strings), np.int64, len(strings))
+    ends = np.cumsum(lens)
+    starts = ends - lens
+    ones = np.ones(1, np.uint64)
+    power = np.cumprod(np.concatenate([ones, np.full(len(cp), _B)]), dtype=np.uint64)
+    back = np.cumprod(np.concatenate([ones, np.full(len(cp), _BI)]), dtype=np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((cp + np.uint64(7)) * power[:-1], dtype=np.uint64)])
+    return _mix((sums[ends] - sums[starts]) * back[starts])
+
+
+def runs(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All runs of one to three characters beyond ASCII: the texts end to end, and of each run the first place, the length,
+    the text's number and the hash.
+    """
+    whole = "".join(texts)
+    cp = _points(whole)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    beyond = cp > 127
+    x = cp + np.uint64(7)
+    at, size, value = [], [], []
+    ok, h, factor = beyond, x, np.full(1, _B)
+    for n in (1, 2, 3):
+        if n > 1:
+            m = len(cp) - n + 1
+            if m < 1:
+                break
+            ok = ok[:m] & beyond[n - 1 :] & (owner[:m] == owner[n - 1 :])
+            h = h[:m] + x[n - 1 :] * factor
+            factor = factor * _B
+        p = np.flatnonzero(ok)
+        at.append(p)
+        size.append(np.full(len(p), n))
+        value.append(h[p])
+    p = np.concatenate(at)
+    return whole, p, np.concatenate(size), owner[p], _mix(np.concatenate(value))
+
+
+_WORD = re.compile(r"[“”‘’«»]?[^\W\d_]+(?:[’‘'-][^\W\d_]+)*[’‘'“”«»-]?")
+
+
 def _is_word(token: str) -> bool:
-    """Words to garble: whole words, single characters, and pairs of neighbours beyond ASCII."""
-    return "�" not in token and (len(token) <= 2 or any(c.isascii() for c in token) or all("À" <= c <= "ɏ" or c in "’‘“”" for c in token))
+    """Words to garble: words of an alphabet, single characters, and pairs of neighbours beyond ASCII. A longer token with
+    other signs within is no clean word (quotation marks may stand around it); each of its signs and letters is one for itself.
+    """
+    if "�" in token:
+        return False
+    return len(token) <= 2 or (_WORD.fullmatch(token) is not None and (bool(token.encode("ascii", "ignore")) or all(c < "⺀" for c in token)))
 
 
 def _weak(form: str) -> bool:
@@ -130,18 +252,28 @@ def evidence(own: dict[str, tuple[str, int]], text: str) -> bool:
 
     One form that no ordinary text has is enough. Of others it takes WEAK different ones (one beside a replacement
     character): pairs of Han characters and the
-    like, Latin letters only within a run of four, single letters only beside replacement characters.
+    like, Latin letters only within a run of four, single characters only beside replacement characters: two of a chain read
+    as UTF-8, or three of any one chain.
     """
     strong = weak = single = 0
+    lone: Counter[int] = Counter()  # single characters by chain
     latin_run = bool(_LATIN_RUN.search(text))
     for form, (_, no) in own.items():
         if len(form) == 1:
             single += CHAINS[no][-1][1] == "utf-8" and not "㐀" <= form <= "鿿"
+            lone[no] += form != "�"
         elif not _weak(form):
             strong += 1
         elif not all("À" <= c <= "ÿ" for c in form) or latin_run:
             weak += 1
-    return strong > 0 or weak >= (1 if "�" in text else WEAK) or (single >= 2 and "�" in text)
+    if strong or weak >= WEAK:
+        return True
+    return "�" in text and (weak > 0 or single >= 2 or max(lone.values(), default=0) >= 3)
+
+
+def _possible(own: set[str], text: str) -> bool:
+    """Whether forms that stand in a text could be evidence, whatever chains they come of."""
+    return "�" in text or evidence(dict.fromkeys(own, ("", 0)), text)
 
 
 def _certain(form: str, word: str, chain: tuple) -> bool:
@@ -168,75 +300,128 @@ def _certain(form: str, word: str, chain: tuple) -> bool:
     return exact or (mixed and len(beyond) >= 3)
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Slices of at most TEXTS texts of about CHARS characters; a longer text stands for itself."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= CHARS or i - lo == TEXTS - 1:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(token, df, n): in how many different texts each token stands, and in how many documents."""
+    """(token, h, df, n): every token and its hash, in how many different texts it stands, and in how many documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter[str] = Counter()
-        more: Counter[str] = Counter()  # copies beyond the first
         for b in batches:
-            for t, n in zip(b.column("text").to_pylist(), b.column("copies").to_pylist(), strict=True):
-                own = tokens(t)
-                df.update(own)
-                if n > 1:
-                    more.update(dict.fromkeys(own, n - 1))
-            if len(df) > 300_000:
-                yield counted(df, more)
-                df, more = Counter(), Counter()
-        yield counted(df, more)
-
-    def counted(df: Counter[str], more: Counter[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([k + more[t] for t, k in df.items()], pa.int64())], names=["token", "df", "n"])
+            texts, copies = b.column("text").to_pylist(), b.column("copies").to_numpy()
+            for lo, hi in _parts(texts):
+                yield counted(texts[lo:hi], copies[lo:hi])
+
+    def counted(texts: list[str], copies: np.ndarray) -> pa.RecordBatch:
+        whole, at, size, owner, h = runs(texts)
+        o = np.argsort(h & ~np.uint64(TEXTS - 1) | owner.astype(np.uint64))
+        at, size, owner, h = at[o], size[o], owner[o], h[o]
+        first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]  # of a token
+        other = first | np.concatenate([[True], owner[1:] != owner[:-1]])[: len(h)]  # of a text with it
+        begin = np.flatnonzero(first)
+        if len(begin):
+            df, n = np.add.reduceat(other.astype(np.int64), begin), np.add.reduceat(np.where(other, copies[owner], 0), begin)
+        else:
+            df = n = np.zeros(0, np.int64)
+        short = [whole[p : p + k] for p, k in zip(at[begin].tolist(), size[begin].tolist(), strict=True)]
+        df2: Counter[str] = Counter()
+        n2: Counter[str] = Counter()
+        for t, c in zip(texts, copies.tolist(), strict=True):
+            for w in pieces(t):
+                df2[w] += 1
+                n2[w] += c
+        long = list(df2)
+        return pa.RecordBatch.from_arrays([pa.array(short + long, pa.string()), pa.array(np.concatenate([h[begin], hashes(long)]).view(np.int64)), pa.array(np.concatenate([df, np.array(list(df2.values()), np.int64)])), pa.array(np.concatenate([n, np.array([n2[w] for w in long], np.int64)]))], names=["token", "h", "df", "n"])
 
     texts = docs.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
-    return texts.mapInArrow(count, "token string, df long, n long").groupBy("token").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "token string, h long, df long, n long").groupBy("h", "token").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+
 
+def _table(hashed: DataFrame, n: int) -> bytes:
+    """A bit for each hash `h` that occurs, of as many as BITS allows; where all are set, nothing is dropped by it."""
+    bits = min(max(BITS[0], (BITS_EACH * n).bit_length()), BITS[1])
+    at = hashed.select(F.col("h").bitwiseAND((1 << bits) - 1).alias("at"))
+    rows = at.groupBy(F.expr("shiftright(at, 6)").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("word")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[rows.column("i").to_numpy()] = rows.column("word").to_numpy()
+    return out.astype("<i8").tobytes()
 
-def _seen(words: DataFrame) -> bytes:
-    """A bit for each hash that some token has; where all are set, nothing is dropped by it."""
-    at = words.select(F.crc32(F.col("token").cast("binary")).bitwiseAND((1 << FILTER) - 1).alias("at"))
-    rows = at.groupBy(F.expr("shiftright(at, 6)").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
-    bits = np.zeros(1 << FILTER - 6, np.int64)
-    bits[rows.column("i").to_numpy()] = rows.column("bits").to_numpy()
-    return bits.astype("<i8").tobytes()
+
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(len(bits) * 8 - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
 def garbled_forms(words: DataFrame, seen: bytes) -> DataFrame:
-    """(token, df, n) -> (form, word, word_df, word_n, chain, certain) under all chains, of forms that may stand in a text.
+    """(h, token, df, n) -> (h, form, word, word_df, word_n, chain, certain) under all chains, of forms that may stand in a text.
 
-    Words too rare for RATIO give certain forms only.
+    h is the hash of the form. Words too rare for RATIO give certain forms only.
     """
+    held = words.sparkSession.sparkContext.broadcast(seen)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(held.value, np.uint8)
         for b in batches:
-            rows = []
-            for w, df, n in zip(b.column("token").to_pylist(), b.column("df").to_pylist(), b.column("n").to_pylist(), strict=True):
-                if _is_word(w):
-                    for no, chain in enumerate(CHAINS):
-                        for f in garbled(w, chain):
-                            h = zlib.crc32(f.encode()) & (1 << FILTER) - 1
-                            if seen[h >> 3] >> (h & 7) & 1 and ((sure := _certain(f, w, chain)) or n >= RATIO):
-                                rows.append((f, w, df, n, no, sure))
-            f, w, df, n, no, sure = zip(*rows, strict=True) if rows else ((),) * 6
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(w, pa.string()), pa.array(df, pa.int64()), pa.array(n, pa.int64()), pa.array(no, pa.int32()), pa.array(sure, pa.bool_())], names=["form", "word", "word_df", "word_n", "chain", "certain"])
-
-    return words.mapInArrow(make, "form string, word string, word_df long, word_n long, chain int, certain boolean")
+            mine = [(i, w) for i, w in enumerate(b.column("token").to_pylist()) if _is_word(w)]
+            # Of two Han characters the other chains make no more than of each: what they make of one stands beside the other's.
+            han = [i for i, w in mine if len(w) == 2 and w[0] >= "⺀" and w[1] >= "⺀"]
+            rest = [i for i, w in mine if not (len(w) == 2 and w[0] >= "⺀" and w[1] >= "⺀")]
+            for some, chains in ((han, TOGETHER), (rest, ALL)):
+                for lo in range(0, len(some), WORDS):
+                    yield made(b.take(pa.array(some[lo : lo + WORDS], pa.int64())), chains, bits)
+
+    def made(b: pa.RecordBatch, chains: Iterable[int], bits: np.ndarray) -> pa.RecordBatch:
+        words_, df, n = (b.column(c).to_pylist() for c in ("token", "df", "n"))
+        rows: dict[tuple[str, str, int], tuple] = {}
+        lost: dict[str, tuple] = {}  # forms of nothing but replacement characters come of very many words: the commonest will do
+        for no, forms in garbled_lists(words_, chains):
+            h = hashes(forms)
+            for i in np.flatnonzero(_in(bits, h)).tolist():
+                f, w = forms[i], words_[i]
+                if not f or f == w or f.isascii():
+                    continue
+                sure = _certain(f, w, CHAINS[no])
+                if not (sure or n[i] >= RATIO):
+                    continue
+                row = (int(h[i].view(np.int64)), f, w, df[i], n[i], no, sure)
+                if f.strip("�"):
+                    rows[f, w, no] = row
+                elif f not in lost or lost[f][4] < n[i]:
+                    lost[f] = row
+        columns = list(zip(*rows.values(), *lost.values(), strict=True)) or [()] * 7
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "form", "word", "word_df", "word_n", "chain", "certain"])
+
+    return words.mapInArrow(make, "h long, form string, word string, word_df long, word_n long, chain int, certain boolean")
 
 
 def found_forms(docs: DataFrame) -> DataFrame:
-    """(form, word, chain): tokens of the documents that are certain garbled forms, or forms of far commoner words; one word
-    per form.
+    """(h, form, word, chain): tokens of the documents that are certain garbled forms, or forms of far commoner words; one
+    word per form.
 
     How common is told by different texts or by documents: copies of a garbled text don't make its forms common.
     """
     words = cut(vocabulary(docs))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table_ = garbled_forms(words.repartition(parts, "token"), _seen(words))
+    made = garbled_forms(_spread(words), _table(words, words.count()))
     common = (F.col("word_df") >= RATIO * F.col("df")) | (F.col("word_n") >= RATIO * F.col("n"))
-    hits = cut(words.withColumnRenamed("token", "form").join(table_, "form").where(F.col("certain") | common))
+    hits = cut(words.withColumnRenamed("token", "form").join(made, ["h", "form"]).where(F.col("certain") | common))
     again = hits.where("certain").select(F.col("form").alias("word")).distinct().withColumn("again", F.lit(True))
     best = F.row_number().over(Window.partitionBy("form").orderBy(F.col("again").isNotNull(), F.desc("word_n"), "chain", "word"))  # clean words first
-    return hits.join(again, "word", "left").withColumn("rank", best).where("rank = 1").select("form", "word", "chain")
+    return hits.join(again, "word", "left").withColumn("rank", best).where("rank = 1").select("h", "form", "word", "chain")
+
+
+def _spread(words: DataFrame) -> DataFrame:
+    """The words over as many tasks as the session shuffles into: making forms is work that the size of the rows hides."""
+    return words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
 
 
 def _unread(text: str, chain: tuple) -> str | None:
@@ -293,62 +478,66 @@ def restore(text: str, hits: dict[str, tuple[str, int]]) -> tuple[str, bool]:
     return "".join(out), changed
 
 
+def candidates(texts: DataFrame, forms: DataFrame, n: int) -> DataFrame:
+    """(row, doc_id, text, tokens): the documents with tokens that may be one of the n forms; row is a hash of the document."""
+    held = texts.sparkSession.sparkContext.broadcast(_table(forms, n))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(held.value, np.uint8)
+        for b in batches:
+            texts_ = b.column("text").to_pylist()
+            for lo, hi in _parts(texts_):
+                yield with_tokens(b.slice(lo, hi - lo), texts_[lo:hi], bits)
+
+    def with_tokens(b: pa.RecordBatch, texts_: list[str], bits: np.ndarray) -> pa.RecordBatch:
+        whole, at, size, owner, h = runs(texts_)
+        hit = _in(bits, h)
+        own: list[set[str]] = [set() for _ in texts_]
+        for i, p, k in zip(owner[hit].tolist(), at[hit].tolist(), size[hit].tolist(), strict=True):
+            own[i].add(whole[p : p + k])
+        long = [(i, w) for i, t in enumerate(texts_) for w in pieces(t)]
+        for j in np.flatnonzero(_in(bits, hashes([w for _, w in long]))).tolist():
+            own[long[j][0]].add(long[j][1])
+        keep = [i for i, x in enumerate(own) if x and _possible(x, texts_[i])]
+        some = b.take(pa.array(keep, pa.int64()))
+        return pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), pa.array([sorted(own[i]) for i in keep], pa.list_(pa.string()))], names=["doc_id", "text", "tokens"])
+
+    found = texts.mapInArrow(look, "doc_id long, text string, tokens array<string>")
+    return found.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", "tokens")
+
+
+def _joined(asked: DataFrame, forms: DataFrame, n: int) -> DataFrame:
+    """asked (row, form) with word and chain; a form that very many rows hold does not go to one task."""
+    forms = forms.select("form", "word", "chain")
+    if n <= BROADCAST:
+        return asked.join(F.broadcast(forms), "form")
+    salt: Column = F.pmod("row", F.lit(SALTS))
+    return asked.withColumn("salt", salt).join(forms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["form", "salt"]).drop("salt")
+
+
 def affected(docs: DataFrame) -> DataFrame:
     """(doc_id, n_forms, restored, changed) of the documents with garbled text; restored is the text put right as far as possible.
 
     Null, blank and ASCII texts are never affected. A null doc_id is kept as it is.
     """
-    texts = docs.select("doc_id", "text").where("text is not null").where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").where(F.col("text").rlike(r"[^\x00-\x7F]"))
     forms = cut(found_forms(texts))
     n = forms.count()
+    some = cut(candidates(texts, forms, n))
+    known = _joined(some.select("row", F.explode("tokens").alias("form")).distinct(), forms, n)
+    own = known.groupBy("row").agg(F.collect_set(F.struct("form", "word", "chain")).alias("own"))
 
-    def verdict(own: dict[str, tuple[str, int]], text: str) -> tuple[int, str, bool] | None:
-        if not evidence(own, text):
-            return None
-        fixed, changed = restore(text, own)
-        return len(own), fixed, changed
-
-    schema = "doc_id long, n_forms int, restored string, changed boolean"
-
-    def rows(found: list[tuple]) -> pa.RecordBatch:
-        d, k, t, c = zip(*found, strict=True) if found else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(t, pa.string()), pa.array(c, pa.bool_())], names=["doc_id", "n_forms", "restored", "changed"])
-
-    if n <= MAX_TRAVEL:
-        known = {r.form: (r.word, r.chain) for r in forms.collect()}
-
-        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = []
-                for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    own = {x: known[x] for x in tokens(t) if x in known}
-                    if own and (v := verdict(own, t)):
-                        found.append((d, *v))
-                yield rows(found)
-
-        return texts.mapInArrow(judge, schema)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d, x = [], []
-            for i, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own = tokens(t)
-                d += [i] * len(own)
-                x += own
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(x, pa.string())], names=["row", "form"])
-
-    numbered = texts.withColumn("row", F.xxhash64("doc_id", "text"))
-    per_doc = numbered.select("row", "text").mapInArrow(explode, "row long, form string").join(forms, "form").groupBy("row").agg(F.collect_set(F.struct("form", "word", "chain")).alias("own"))
-
-    def judge_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for d, t, own in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("own").to_pylist(), strict=True):
-                if v := verdict({x["form"]: (x["word"], x["chain"]) for x in own}, t):
-                    found.append((d, *v))
-            yield rows(found)
-
-    return numbered.join(per_doc, "row").select("doc_id", "text", "own").mapInArrow(judge_joined, schema)
+            for d, t, o in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("own").to_pylist(), strict=True):
+                hits = {x["form"]: (x["word"], x["chain"]) for x in o}
+                if evidence(hits, t):
+                    found.append((d, len(hits), *restore(t, hits)))
+            d, k, t, c = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(t, pa.string()), pa.array(c, pa.bool_())], names=["doc_id", "n_forms", "restored", "changed"])
+
+    return some.select("row", "doc_id", "text").join(own, "row").select("doc_id", "text", "own").mapInArrow(judge, "doc_id long, n_forms int, restored string, changed boolean")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

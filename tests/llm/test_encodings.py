@@ -45,17 +45,57 @@ def test_found_and_restored(spark):
         assert got[n + i].restored == want and got[n + i].changed
 
 
-def test_joined_over_the_cluster_alike(spark):
+def test_shuffled_join_alike(spark):
     clean, bad = corpus()
     want = run(spark, [*clean, *bad])
-    held, E.MAX_TRAVEL = E.MAX_TRAVEL, 0
+    held, E.BROADCAST = E.BROADCAST, 0
     try:
         got = run(spark, [*clean, *bad])
     finally:
-        E.MAX_TRAVEL = held
+        E.BROADCAST = held
     assert got == want
 
 
+def test_full_bit_tables_drop_nothing(spark):
+    clean, bad = corpus()
+    want = run(spark, [*clean, *bad])
+    held, E.BITS = E.BITS, (6, 6)
+    try:
+        got = run(spark, [*clean, *bad])
+    finally:
+        E.BITS = held
+    assert got == want
+
+
+def test_many_words_at_once_as_one_by_one():
+    words = ["façade", "’", "é", "了过", "привет", "“ô”", "カ", "₤x", "𠀀"]
+    got: dict[tuple[int, str], set[str]] = {}
+    for no, forms in E.garbled_lists(words):
+        for w, f in zip(words, forms, strict=True):
+            if f and f != w and not f.isascii():
+                got.setdefault((no, w), set()).add(f)
+    for no, chain in enumerate(E.CHAINS):
+        for w in words:
+            assert got.get((no, w), set()) == E.garbled(w, chain), (chain, w)
+
+
+def test_runs_and_pieces_are_the_tokens():
+    clean, bad = corpus()
+    texts = [*clean[:7], *bad, "", "ascii", "é", "x" * 3 + "中文"]
+    whole, at, size, owner, h = E.runs(texts)
+    mine = [{whole[p : p + k] for p, k, o in zip(at.tolist(), size.tolist(), owner.tolist(), strict=True) if o == i} | E.pieces(t) for i, t in enumerate(texts)]
+    assert mine == [E.tokens(t) for t in texts]
+    assert (E.hashes([whole[p : p + k] for p, k in zip(at.tolist(), size.tolist(), strict=True)]) == h).all()
+
+
+@pytest.mark.parametrize("word", ["высококвалифицированный", "überdurchschnittlichkeitsbehauptungssätze", "Gänsefüßchenverwendungsverordnungsänderungsgesetzesentwürfe"])
+def test_long_and_rare_words(spark, word):
+    """A garbled word of more than 40 characters, whose clean word stands in one text only."""
+    bad = garble(word, (("utf-8", "cp1252"),))
+    assert len(bad) > 40
+    assert sorted(run(spark, [f"The word {word} stands here.", f"It says {bad} here.", "No sign of it."])) == [1]
+
+
 def test_empty(spark):
     assert run(spark, ["", None]) == {}
     assert E.affected(spark.createDataFrame([], "doc_id long, text string")).count() == 0
