@@ -37,6 +37,7 @@ WORDS = 20_000  # words garbled at once
 SINGLE = ("cp1252", "latin-1", "mac_roman", "cp1251", "cp437", "cp850", "cp866", "koi8_r", "cp1250")
 DOUBLE = ("gbk", "big5", "shift_jis", "euc_kr")
 STEPS = [("utf-8", d) for d in SINGLE + DOUBLE] + [("gbk", d) for d in ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "big5", "utf-8", "shift_jis")] + [("big5", "gbk"), ("big5", "latin-1"), ("shift_jis", "gbk"), ("shift_jis", "latin-1")]
+STEPS += [("cp1252", d) for d in ("mac_roman", "cp437", "cp850", "cp1251")] + [(s, "cp1252") for s in ("mac_roman", "cp437", "cp850", "cp1251", "big5", "shift_jis", "euc_kr")] + [("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("euc_kr", "latin-1")]
 CHAINS = [(s,) for s in STEPS] + [(("utf-8", a), ("utf-8", b)) for a in ("cp1252", "latin-1", "mac_roman", "cp1251") for b in ("cp1252", "latin-1", "mac_roman", "cp1251")]
 _TABLE = {e: "".join(bytes([i]).decode(e, "ignore") or chr(i) for i in range(256)) for e in SINGLE}
 _BACK = {e: {c: i for i, c in reversed(list(enumerate(t)))} for e, t in _TABLE.items()}
