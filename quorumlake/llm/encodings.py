@@ -25,7 +25,7 @@ from ..tables import cut, table
 
 RATIO = 4  # texts with the word for each text with a garbled form that could be ordinary text, at least
 BITS = (16, 27)  # logarithm of a bit table's size, at least and at most (16 MB); where all bits are set, it drops nothing
-BITS_EACH = 256  # bits for each entry within these limits
+BITS_EACH = 4096  # bits for each entry within these limits
 BROADCAST = 400_000  # garbled forms found that the JVM joins by broadcast (some 40 MB); beyond, both sides are shuffled
 SALTS = 16  # ways a form that very many documents hold is split then
 WEAK = 3  # different garbled forms needed where each alone could be ordinary text
@@ -130,7 +130,9 @@ _TWICE = re.compile(r"Ã[^Ã\x00-\x7f]{2,9}")
 _PAIRS = re.compile(r"[\xa1-\xfe]{4,}")
 _BEYOND = re.compile(r"[^\x00-\x7f]+")
 _LETTERS = re.compile(r"[^\W\d_\x00-\x7f㐀-鿿]+")
-_SPLIT = re.compile(r"[ \t\n\r\x0b\x0c|{}\[\]<>]+|[\u3000-\u303f\u3400-\u9fff\uff00-\uffef]{4,}")  # blanks, and text in Han characters
+_BLANK = r" \t\n\r\x0b\x0c|{}\[\]<>"
+_PIECE_OF = re.compile(f"(?<![^{_BLANK}])[^{_BLANK}\x80-\U0010ffff]*+[^\x00-\x7f][^{_BLANK}]*")  # between blanks, beyond ASCII
+_HAN = re.compile(r"[\u3000-\u303f\u3400-\u9fff\uff00-\uffef]{4,}")
 _EDGE = "0123456789.,;:!?()\"'%#*/+=&-"
 _OTHER = re.compile(r"[A-Za-z\x80-\u2e7f]")
 _ODD = re.compile(r"[\x80-\u2e7f]")
@@ -141,11 +143,12 @@ def pieces(text: str) -> set[str]:
     that a chain makes of one.
     """
     out: set[str] = set()
-    for w in _SPLIT.split(text):
-        if not w.isascii():
-            w = w.strip(_EDGE)
-            if w and _OTHER.search(w):
-                out.add(w)
+    for whole in _PIECE_OF.findall(text):
+        for w in _HAN.split(whole) if _HAN.search(whole) else (whole,):  # text in Han characters parts words
+            if not w.isascii():
+                w = w.strip(_EDGE)
+                if w and _OTHER.search(w):
+                    out.add(w)
     if _ODD.search(text):
         if _LEAD.search(text):
             for p in _LEADS.values():
