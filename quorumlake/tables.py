@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,18 +39,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files whose lineage was cut: plans that are no longer held are collected on both sides."""
-    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
-    before = -1
-    for n in range(6):  # plans let go in one round free their shuffles in the next; the cleaner works on its own thread
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-        now = held.size()
-        if not now or n > 1 and now == before:
-            break
-        before = now
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Within, plans give up their shuffle files as soon as they have run, as a cut() lineage no longer needs them.
+
+    A plan made within must run once only; results to be handed out are cut() first.
+    """
+    held = spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, held)
 
 
 MANY = 200_000  # repeated keys that may travel with each task; beyond, rows are grouped
