@@ -212,8 +212,7 @@ def reasons(answer: Answer) -> str:
 _STATED = re.compile(r"(?:the label is|label\s*[:：]|标签为|标签\s*[:：])[^.。\n]*[.。]?", re.I)
 _MARK = re.compile(r"[.。!！?？,，;；]")
 _ANY_HAN = re.compile(r"[㐀-鿿]")
-_ANY_ANY_SCRIPT = re.compile(f"[{''.join(SCRIPTS.values())}]")
-_LATIN = re.compile(r"[a-z]", re.I)
+_ANY_LATIN = re.compile(r"[a-z]", re.I)
 
 
 def is_foreign(told: str, query: str | None) -> bool:
