@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..tables import cut, table
+from .bits import contained, table_of
 
 RATIO = 4  # texts with the word for each text with a garbled form that could be ordinary text, at least
-BITS = (16, 27)  # logarithm of a bit table's size, at least and at most (16 MB); where all bits are set, it drops nothing
-BITS_EACH = 4096  # bits for each entry within these limits
 BROADCAST = 400_000  # garbled forms found that the JVM joins by broadcast (some 40 MB); beyond, both sides are shuffled
 SALTS = 16  # ways a form that very many documents hold is split then
 WEAK = 3  # different garbled forms needed where each alone could be ordinary text
@@ -350,21 +349,6 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "token string, h long, df long, n long").groupBy("h", "token").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
 
 
-def _table(hashed: DataFrame, n: int) -> bytes:
-    """A bit for each hash `h` that occurs, of as many as BITS allows; where all are set, nothing is dropped by it."""
-    bits = min(max(BITS[0], (BITS_EACH * n).bit_length()), BITS[1])
-    at = hashed.select(F.col("h").bitwiseAND((1 << bits) - 1).alias("at"))
-    rows = at.groupBy(F.expr("shiftright(at, 6)").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("word")).toArrow()
-    out = np.zeros(1 << bits - 6, np.int64)
-    out[rows.column("i").to_numpy()] = rows.column("word").to_numpy()
-    return out.astype("<i8").tobytes()
-
-
-def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h & np.uint64(len(bits) * 8 - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-
-
 def garbled_forms(words: DataFrame, seen: bytes) -> DataFrame:
     """(h, token, df, n) -> (h, form, word, word_df, word_n, chain, certain) under all chains, of forms that may stand in a text.
 
@@ -389,7 +373,7 @@ def garbled_forms(words: DataFrame, seen: bytes) -> DataFrame:
         lost: dict[str, tuple] = {}  # forms of nothing but replacement characters come of very many words: the commonest will do
         for no, forms in garbled_lists(words_, chains):
             h = hashes(forms)
-            for i in np.flatnonzero(_in(bits, h)).tolist():
+            for i in np.flatnonzero(contained(bits, h)).tolist():
                 f, w = forms[i], words_[i]
                 if not f or f == w or f.isascii():
                     continue
@@ -415,7 +399,7 @@ def found_forms(docs: DataFrame) -> DataFrame:
     How common is told by different texts or by documents: copies of a garbled text don't make its forms common.
     """
     words = cut(vocabulary(docs))
-    made = garbled_forms(_spread(words), _table(words, words.count()))
+    made = garbled_forms(_spread(words), table_of(words, words.count()))
     common = (F.col("word_df") >= RATIO * F.col("df")) | (F.col("word_n") >= RATIO * F.col("n"))
     hits = cut(words.withColumnRenamed("token", "form").join(made, ["h", "form"]).where(F.col("certain") | common))
     again = hits.where("certain").select(F.col("form").alias("word")).distinct().withColumn("again", F.lit(True))
@@ -484,7 +468,7 @@ def restore(text: str, hits: dict[str, tuple[str, int]]) -> tuple[str, bool]:
 
 def candidates(texts: DataFrame, forms: DataFrame, n: int) -> DataFrame:
     """(row, doc_id, text, tokens): the documents with tokens that may be one of the n forms; row is a hash of the document."""
-    held = texts.sparkSession.sparkContext.broadcast(_table(forms, n))
+    held = texts.sparkSession.sparkContext.broadcast(table_of(forms, n))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, np.uint8)
@@ -495,12 +479,12 @@ def candidates(texts: DataFrame, forms: DataFrame, n: int) -> DataFrame:
 
     def with_tokens(b: pa.RecordBatch, texts_: list[str], bits: np.ndarray) -> pa.RecordBatch:
         whole, at, size, owner, h = runs(texts_)
-        hit = _in(bits, h)
+        hit = contained(bits, h)
         own: list[set[str]] = [set() for _ in texts_]
         for i, p, k in zip(owner[hit].tolist(), at[hit].tolist(), size[hit].tolist(), strict=True):
             own[i].add(whole[p : p + k])
         long = [(i, w) for i, t in enumerate(texts_) for w in pieces(t)]
-        for j in np.flatnonzero(_in(bits, hashes([w for _, w in long]))).tolist():
+        for j in np.flatnonzero(contained(bits, hashes([w for _, w in long]))).tolist():
             own[long[j][0]].add(long[j][1])
         keep = [i for i, x in enumerate(own) if x and _possible(x, texts_[i])]
         some = b.take(pa.array(keep, pa.int64()))

@@ -2,10 +2,12 @@
 
 Edit-distance segment join. Texts are brought to a canonical form (width, case, marks, filler words, common variants of
 characters) and turned so that they begin at an anchor, their largest number, because clauses may have changed places; what
-is left between two copies is a few edits. Evaluation strings are cut into K + 1 segments; one of them survives K edits, so
-training strings look their substrings up at the places such a segment can have moved to. Task, image file and the numbers
-must be equal for two samples to be one record, so they are part of every key. Candidates are verified by a banded dynamic
-program over the strings and by what kind of edits they are.
+is left between two copies is a few edits: characters put in, left out, replaced, or swapped with a neighbour. Evaluation
+strings are cut into K + 1 segments; K edits leave the inside of one of them as it is (a swap across a border touches only the
+outermost characters of two segments, which are no part of the key), so training strings look their substrings up at the
+places such a segment can have moved to. Task, image file and the numbers must be equal for two samples to be one record, so
+they are part of every key. Candidates are verified by a banded dynamic program over the two strings, then by what kind of
+edits they are.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..tables import cut, latest, table
+from .bits import contained, table_of
 
-K = 3
+K = 3  # edits between the turned strings of one record, at most
+SHORT = 12  # characters under which a string is cut in two and may hold one edit
 IMAGE_ONLY = ("image_classification", "image_attribution_recognition")
 IMAGE_AND_TEXT = ("image_text_relevance",)
 
@@ -67,13 +71,15 @@ def tokens(text: str | None) -> list[str]:
 
 
 _FILLER_SET = set(FILLERS_EN)
+_MINOR_LETTERS = {"".join(sorted(x)) for x in MINOR_EN if len(x) > 2}  # minor words with letters swapped are minor words
 
 
 def forms(toks: list[str]) -> list[str]:
     """The text turned to begin at an anchor: its largest number. Without numbers: at the words of largest and of
     smallest checksum, and as it stands, so that a slip in one anchor leaves another.
     """
-    core = [x for x in toks if x not in MINOR_EN] or toks
+    core = [x for x in toks if x not in MINOR_EN and not (3 <= len(x) <= 4 and "".join(sorted(x)) in _MINOR_LETTERS)] or toks
+    core = [x for i, x in enumerate(core) if not i or x != core[i - 1] or len(x) == 1 or x[0].isdecimal()]  # a word written twice
     if not core:
         return []
     numbers = [i for i, x in enumerate(core) if x[0].isdecimal()]
@@ -116,6 +122,61 @@ def osa(a: str, b: str, most: int) -> int:
     return min(one[m], far)
 
 
+def near(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether osa(a[i], b[i]) <= most[i], of many pairs at once: the band of the matrix, row by row for all of them."""
+    n, m = (np.array([len(x) for x in s], np.int64) for s in (a, b))
+    out = np.zeros(len(a), bool)
+    k = int(most.max()) if len(a) else 0
+    fit = np.flatnonzero(np.abs(n - m) <= most)
+    for some in np.array_split(fit[np.argsort(n[fit], kind="stable")], max(1, -(-len(fit) // 20_000))):
+        if not len(some):
+            continue
+        rows, far, width = int(n[some].max()), k + 1, 2 * k + 1
+        x, y = _padded([a[i] for i in some], rows + 2, 0), _padded([b[i] for i in some], rows + 3 * k + 4, k + 1)
+        offset = np.arange(-k, k + 1)
+        one = np.where(offset >= 0, np.minimum(offset, far), far)[None, :].repeat(len(some), 0).astype(np.int8)  # row 0
+        two = np.full_like(one, far)
+        last = one.copy()
+        for i in range(1, rows + 1):
+            c = x[:, i - 1, None]
+            at = i + k  # y[:, at + o] is the character b[i + o - 1]
+            d = y[:, at - k : at + k + 1]
+            row = one + (c != d)
+            row[:, :-1] = np.minimum(row[:, :-1], one[:, 1:] + 1)
+            if i > 1:
+                swapped = (c == y[:, at - k - 1 : at + k]) & (x[:, i - 2, None] == d)
+                row = np.where(swapped, np.minimum(row, two + 1), row)
+            row[:, (i + offset) < 0] = far
+            if i <= k:
+                row[:, k - i] = i  # nothing of b yet
+            for o in range(1, width):
+                row[:, o] = np.minimum(row[:, o], row[:, o - 1] + 1)
+            row = np.minimum(row, far).astype(np.int8)
+            two, one = one, row
+            done = n[some] == i
+            last[done] = row[done]
+        out[some] = last[np.arange(len(some)), k + m[some] - n[some]] <= most[some]
+    return out
+
+
+def _padded(texts: list[str], width: int, before: int) -> np.ndarray:
+    """Code points of each text in a row, `before` empty places first."""
+    out = np.zeros((len(texts), width + before), np.uint32)
+    lens = np.array([len(t) for t in texts], np.int64)
+    keep = np.minimum(lens, width)
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.arange(len(cp)) - np.repeat(np.cumsum(lens) - lens, lens)
+    row = np.repeat(np.arange(len(texts)), lens)
+    use = at < keep[row]
+    out[row[use], before + at[use]] = cp[use] + 1
+    return out
+
+
+def most_edits(text: str) -> int:
+    """Edits that a turned string of evaluation may hold."""
+    return K if len(text) >= SHORT else 1
+
+
 def same_record(a: list[str], b: list[str]) -> bool:
     """Whether two canonical texts differ by slips of the pen, small words and order of clauses alone."""
     if a == b:
@@ -195,8 +256,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def segment_keys(texts: list[str], blocks: np.ndarray, query: bool, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): segments of evaluation strings, or the substrings of training strings that can equal one."""
+def segment_keys(texts: list[str], blocks: np.ndarray, query: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): insides of segments of evaluation strings, or the substrings of training strings that can equal one.
+
+    An evaluation string of SHORT characters or more is cut into K + 1 segments, a shorter one in two; under six characters it
+    is one key as a whole.
+    """
     lens = np.array([len(t) for t in texts], np.int64)
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lo = np.concatenate([[0], np.cumsum(lens)])[:-1]
@@ -205,26 +270,28 @@ def segment_keys(texts: list[str], blocks: np.ndarray, query: bool, k: int = K)
     prefix = np.concatenate([[np.uint64(0)], np.cumsum((cp + np.uint64(7)) * power[:-1], dtype=np.uint64)])
     block = blocks.astype(np.int64).view(np.uint64)
     rows, keys = [], []
-    for d in (0,) if query else range(-k, k + 1):
-        length = lens + d  # of the evaluation string
-        base, extra = length // (k + 1), length % (k + 1)
-        for i in range(k + 1):
-            long = i - (k + 1 - extra)  # how many longer segments lie before, when positive
-            start = base * i + np.maximum(long, 0)
-            width = base + (long >= 0)
-            for s in (0,) if query else range(-k, k + 1):
-                at = start + s
-                ok = (base >= 1) & (at >= 0) & (at + width <= lens)
-                if not query:  # with i edits before the segment at most and k - i behind it
-                    ok &= (abs(s) <= i) & (np.abs(s + d) <= k - i)
-                r = np.flatnonzero(ok)
-                if not len(r):
-                    continue
-                p = lo[r] + at[r]
-                h = (prefix[p + width[r]] - prefix[p]) * inverse[p]
-                rows.append(r)
-                keys.append(_mix(h ^ _mix(block[r] + np.uint64((i + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) ^ (length[r].astype(np.uint64) << np.uint64(40))).view(np.int64))
-    short = np.flatnonzero(lens < 2 * (k + 1))  # too short for segments of use: whole text
+    for k, least, most in ((K, SHORT, np.iinfo(np.int64).max), (1, 6, SHORT)):
+        for d in (0,) if query else range(-k, k + 1):
+            length = lens + d  # of the evaluation string
+            mine = (length >= least) & (length < most)
+            base, extra = length // (k + 1), length % (k + 1)
+            for i in range(k + 1):
+                long = i - (k + 1 - extra)  # how many longer segments lie before, when positive
+                start = base * i + np.maximum(long, 0)
+                width = base + (long >= 0)
+                for s in (0,) if query else range(-k, k + 1):
+                    at = start + s + 1
+                    ok = mine & (at >= 0) & (at + width - 2 <= lens)
+                    if not query:  # with i edits before the segment at most and k - i behind it
+                        ok &= (abs(s) <= i) & (np.abs(s + d) <= k - i)
+                    r = np.flatnonzero(ok)
+                    if not len(r):
+                        continue
+                    p = lo[r] + at[r]
+                    h = (prefix[p + width[r] - 2] - prefix[p]) * inverse[p]
+                    rows.append(r)
+                    keys.append(_mix(h ^ _mix(block[r] + np.uint64((i + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) ^ (length[r].astype(np.uint64) << np.uint64(40))).view(np.int64))
+    short = np.flatnonzero(lens < SHORT)
     if len(short):
         rows.append(short)
         keys.append(_mix((prefix[lo[short] + lens[short]] - prefix[lo[short]]) * inverse[lo[short]] ^ block[short]).view(np.int64))
@@ -246,19 +313,20 @@ def sides(samples: DataFrame) -> DataFrame:
     return once.select("sample_id", "task", side.alias("side"), "source", split.alias("split"), image.alias("image"), "query").where(side.isNotNull() & (F.regexp_replace(F.coalesce("query", F.lit("")), r"[\s　\x{00A0}]", "") != ""))
 
 
-def sketches(texts: list[str], words: int = 4) -> np.ndarray:
-    """Bits of the neighbouring characters that occur in each text: an edit flips four at most."""
+def sketches(texts: list[str]) -> np.ndarray:
+    """64 parities of the neighbouring characters that occur in each text."""
     lens = np.array([len(t) for t in texts], np.int64)
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    bits = np.zeros((len(texts), 64 * words), bool)
+    out = np.zeros(len(texts), np.uint64)
     if len(cp) > 1:
         row = np.repeat(np.arange(len(texts)), lens)
         own = row[:-1] == row[1:]
-        bits[row[:-1][own], (_mix(cp[:-1][own] * np.uint64(1 << 21) + cp[1:][own]) % np.uint64(64 * words)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
+        bit = np.uint64(1) << (_mix(cp[:-1][own] * np.uint64(1 << 21) + cp[1:][own]) % np.uint64(64))
+        np.bitwise_xor.at(out, row[:-1][own], bit)
+    return out
 
 
-FLIPS = 28  # bits that K edits, another place to begin and minor words can flip, and some more
+FLIPS = 6 * K  # parities that K edits can flip: a swap of neighbours changes three pairs of characters, each gone and come
 PAIRS_AT_ONCE = 4_000_000
 
 
@@ -271,18 +339,22 @@ def _joined(block: np.ndarray, toks: list[str], spelt: list[list[str]], asks: np
         mine = np.flatnonzero(use[of])
         r, k = segment_keys([flat[i] for i in mine], block[of[mine]], query)
         o = np.argsort(k, kind="stable")
-        sides_.append((k[o], of[mine][r][o]))
+        sides_.append((k[o], mine[r][o]))
     (ek, et), (tk, tt) = sides_
     lo, hi = np.searchsorted(ek, tk), np.searchsorted(ek, tk, "right")
     n = hi - lo
     some = np.flatnonzero(n)
-    shape = sketches([x[-1] if x else "" for x in spelt])
+    shape = sketches(flat)
     seen: set[int] = set()
     for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(n[some]) // PAIRS_AT_ONCE)) + 1):
         t = np.repeat(tt[part], n[part])
         e = et[np.repeat(lo[part], n[part]) + np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])]
-        near = (e != t) & (np.bitwise_count(shape[e] ^ shape[t]).sum(1) <= FLIPS)
-        for x in np.unique(e[near].astype(np.int64) * len(toks) + t[near]).tolist():
+        fit = (of[e] != of[t]) & (np.bitwise_count(shape[e] ^ shape[t]) <= FLIPS)
+        both = np.unique(e[fit].astype(np.int64) * len(flat) + t[fit])
+        e, t = both // len(flat), both % len(flat)
+        a, b = [flat[i] for i in e.tolist()], [flat[i] for i in t.tolist()]
+        ok = near(a, b, np.array([most_edits(x) for x in a], np.int64)) if len(a) else np.zeros(0, bool)
+        for x in np.unique(of[e[ok]].astype(np.int64) * len(toks) + of[t[ok]]).tolist():
             if x not in seen:
                 seen.add(x)
                 i, j = divmod(x, len(toks))
@@ -290,15 +362,17 @@ def _joined(block: np.ndarray, toks: list[str], spelt: list[list[str]], asks: np
                     yield i, j
 
 
-MAX_BLOCK = 4096  # samples of one task, image and numbers that one task joins; larger blocks are joined over the cluster
-ROWS = "kind int, a long, b long, block long, toks string, forms array<string>"
+MAX_BLOCK = 1024  # samples of one task, image and numbers that one task joins; larger blocks are joined over the cluster
+BROADCAST = 400_000  # numbers of blocks that the JVM joins by broadcast; beyond, both sides are shuffled
+COPIES = 10_000  # samples of one text that go to one task when its pairs are written out
 
 
 def overlaps(samples: DataFrame) -> DataFrame:
     """(eval_id, train_id): every pair of one record across the splits, exact copies included.
 
-    Samples of equal task, image file and numbers form a block. Blocks of up to MAX_BLOCK samples are joined where they lie
-    after one shuffle; the rare larger ones over the cluster, by the same keys and the same verification.
+    Samples of equal task, image file and numbers form a block; blocks are counted first. Those of up to MAX_BLOCK samples are
+    joined where they lie after one shuffle, larger ones, which no task could hold, over the cluster, by the same keys and the
+    same verification.
     """
 
     def canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,32 +383,26 @@ def overlaps(samples: DataFrame) -> DataFrame:
 
     part = sides(samples).select("sample_id", "task", (F.col("side") == "eval").alias("eval"), "image", "query")
     text = part.mapInArrow(canonical, "sample_id long, task string, eval boolean, image string, toks string, numbers string")
-    text = text.where("toks != ''").select("sample_id", "eval", F.xxhash64("task", "image", "numbers").alias("block"), "toks")
-    by_block = Window.partitionBy("block")
-    text = text.withColumns({"n": F.count(F.lit(1)).over(by_block), "e": F.max("eval").over(by_block), "t": F.min("eval").over(by_block)}).where("e and not t").select("block", "n", "sample_id", "eval", "toks")
+    text = cut(text.where("toks != ''").select("sample_id", "eval", F.xxhash64("task", "image", "numbers").alias("block"), "toks"))
+    blocks = cut(text.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("eval").alias("e"), F.min("eval").alias("t")).where("e and not t").select("block", "n"))
+    large = blocks.where(F.col("n") > MAX_BLOCK).select("block")  # one in MAX_BLOCK samples at most
+    small = blocks.where(F.col("n") <= MAX_BLOCK).select("block")
+    rest = text.join(F.broadcast(small), "block", "left_semi") if small.count() <= BROADCAST else text.join(F.broadcast(large), "block", "left_anti").join(small, "block", "left_semi")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
-            large = b.column("n").to_numpy() > MAX_BLOCK
-            if large.any():
-                yield rows(b.filter(pa.array(large)))
-            if not large.all():
-                held.append(b.filter(pa.array(~large)))
+            held.append(b)
             if sum(map(len, held)) >= 20_000:
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 block = whole.column("block").to_numpy()
                 use = int(np.flatnonzero(block != block[-1])[-1]) + 1 if (block != block[-1]).any() else 0
                 if use:
                     yield pairs(whole.slice(0, use))
-                    held = [whole.slice(use)]
-        if held:
+                held = [whole.slice(use)]
+        if sum(map(len, held)):
             yield pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    def rows(b: pa.RecordBatch) -> pa.RecordBatch:
-        spelt = [forms(t.split(" ")) for t in b.column("toks").to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(b), np.int32)), b.column("sample_id"), b.column("eval").cast(pa.int64()), b.column("block"), b.column("toks"), pa.array(spelt, pa.list_(pa.string()))], names=["kind", "a", "b", "block", "toks", "forms"])
-
     def pairs(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, block, is_eval = b.column("sample_id").to_numpy(), b.column("block").to_numpy(), b.column("eval").to_pylist()
         at: dict[tuple[int, str], int] = {}
@@ -350,56 +418,81 @@ def overlaps(samples: DataFrame) -> DataFrame:
         left, right = [], []
         same = ((i, i) for i in np.flatnonzero(asks & has))
         for i, j in (*same, *_joined(own, toks, [forms(t.split(" ")) for t in toks], asks, has)):
-            for e in members[i][0]:
+            for e in members[i][0]:  # of one block, so MAX_BLOCK squared at most
                 left += [e] * len(members[j][1])
                 right += members[j][1]
-        n = len(left)
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.string()))], names=["kind", "a", "b", "block", "toks", "forms"])
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["eval_id", "train_id"])
 
-    out = cut(text.mapInArrow(join, ROWS))
-    small = out.where("kind = 0").select(F.col("a").alias("eval_id"), F.col("b").alias("train_id"))
-    large = out.where("kind = 1").select(F.col("a").alias("sample_id"), (F.col("b") == 1).alias("eval"), "block", "toks", "forms")
-    return small if large.isEmpty() else small.unionByName(spread(large))
+    out = rest.repartition("block").sortWithinPartitions("block").select("block", "sample_id", "eval", "toks").mapInArrow(join, "eval_id long, train_id long")
+    return out if large.isEmpty() else out.unionByName(spread(text.join(F.broadcast(large), "block", "left_semi")))
 
 
 def spread(text: DataFrame) -> DataFrame:
-    """The join of large blocks over the cluster: (eval_id, train_id) of (sample_id, eval, block, toks, forms)."""
+    """The join of large blocks over the cluster: (eval_id, train_id) of (sample_id, eval, block, toks).
+
+    One representative for each distinct text is joined; copies meet again through the links between texts.
+    """
     text = text.withColumn("text_id", F.xxhash64("block", "toks"))
-    members = text.select("sample_id", "eval", "text_id")
-    # One representative for each distinct text; copies meet again through their members.
-    texts = cut(text.groupBy("text_id").agg(F.first("block").alias("block"), F.first("toks").alias("toks"), F.first("forms").alias("forms"), F.max("eval").alias("in_eval"), (~F.min("eval")).alias("in_train")))
+    texts = text.groupBy("text_id").agg(F.first("block").alias("block"), F.first("toks").alias("toks"), F.count_if("eval").alias("n_eval"), F.count_if(~F.col("eval")).alias("n_train"))
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spelt = [forms(t.split(" ")) for t in b.column("toks").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spelt, pa.list_(pa.string()))], names=[*b.schema.names, "forms"])
+
+    texts = cut(texts.mapInArrow(turned, "text_id long, block long, toks string, n_eval long, n_train long, forms array<string>"))
 
-    def keyed(query: bool):  # noqa: ANN202
+    def keyed(query: bool, held: Broadcast | None = None):  # noqa: ANN202
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = None if held is None else np.frombuffer(held.value, np.uint8)
             for b in batches:
                 for lo in range(0, len(b), 2000):
                     c = b.slice(lo, 2000)
                     spelt = c.column("forms").to_pylist()
                     of = np.repeat(np.arange(len(c)), [len(x) for x in spelt])
-                    shape = sketches([x[-1] if x else "" for x in spelt]).view(np.int64)
-                    r, k = segment_keys([x for xs in spelt for x in xs], c.column("block").to_numpy()[of], query)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), c.column("text_id").take(pa.array(of[r])), *(pa.array(shape[of[r], i]) for i in range(shape.shape[1]))], names=["key", "text_id", *(f"s{i}" for i in range(shape.shape[1]))])
+                    no = np.concatenate([np.arange(len(x)) for x in spelt]) if len(of) else of
+                    flat = [x for xs in spelt for x in xs]
+                    shape = sketches(flat).view(np.int64)
+                    r, k = segment_keys(flat, c.column("block").to_numpy()[of], query)
+                    if bits is not None:
+                        use = contained(bits, k.view(np.uint64))
+                        r, k = r[use], k[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(k), c.column("text_id").take(pa.array(of[r])), pa.array(no[r].astype(np.int32)), pa.array(shape[r])], names=["h", "text_id", "form", "shape"])
 
         return emit
 
-    ids = "key long, text_id long, " + ", ".join(f"s{i} long" for i in range(4))
-    ask = texts.where("in_eval").select("forms", "block", "text_id").mapInArrow(keyed(True), ids).alias("x")
-    have = texts.where("in_train").select("forms", "block", "text_id").mapInArrow(keyed(False), ids).alias("y")
-    flips = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(4)), F.lit(0))
-    pairs = ask.join(have, (F.col("x.key") == F.col("y.key")) & (F.col("x.text_id") != F.col("y.text_id")) & (flips <= FLIPS)).select(F.col("x.text_id").alias("e"), F.col("y.text_id").alias("t")).distinct()
-    written = texts.select("text_id", "toks")
-    pairs = pairs.join(written.select(F.col("text_id").alias("e"), F.col("toks").alias("e_toks")), "e").join(written.select(F.col("text_id").alias("t"), F.col("toks").alias("t_toks")), "t")
+    keys = "h long, text_id long, form int, shape long"
+    asking = texts.where("n_eval > 0").select("forms", "block", "text_id").mapInArrow(keyed(True), keys)
+    # Training strings have many substrings; those that are no segment of any evaluation string don't travel.
+    held = text.sparkSession.sparkContext.broadcast(table_of(asking, 8 * texts.where("n_eval > 0").count()))
+    have = texts.where("n_train > 0").select("forms", "block", "text_id").mapInArrow(keyed(False, held), keys).alias("y")
+    ask = asking.alias("x")
+    alike = (F.col("x.h") == F.col("y.h")) & (F.col("x.text_id") != F.col("y.text_id")) & (F.bit_count(F.col("x.shape").bitwiseXOR(F.col("y.shape"))) <= FLIPS)
+    pairs = ask.join(have, alike).select(F.col("x.text_id").alias("e"), F.col("x.form").alias("ef"), F.col("y.text_id").alias("t"), F.col("y.form").alias("tf")).distinct()
+    written = texts.select("text_id", "toks", "forms")
+    pairs = pairs.join(written.select(F.col("text_id").alias("e"), F.col("toks").alias("e_toks"), F.col("forms").alias("e_forms")), "e").join(written.select(F.col("text_id").alias("t"), F.col("toks").alias("t_toks"), F.col("forms").alias("t_forms")), "t")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [same_record(x.split(" "), y.split(" ")) for x, y in zip(b.column("e_toks").to_pylist(), b.column("t_toks").to_pylist(), strict=True)]
-            at = pa.array(np.flatnonzero(np.array(ok, bool)))
-            yield pa.RecordBatch.from_arrays([b.column("e").take(at), b.column("t").take(at)], names=["e", "t"])
-
-    near = pairs.select("e", "t", "e_toks", "t_toks").mapInArrow(verify, "e long, t long")
-    same = texts.where("in_eval and in_train").select(F.col("text_id").alias("e"), F.col("text_id").alias("t"))
-    linked = near.unionByName(same)
-    return linked.join(members.where("eval").select(F.col("text_id").alias("e"), F.col("sample_id").alias("eval_id")), "e").join(members.where("not eval").select(F.col("text_id").alias("t"), F.col("sample_id").alias("train_id")), "t").select("eval_id", "train_id")
+            a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
+            ok = near(a, c, np.array([most_edits(x) for x in a], np.int64)) if a else np.zeros(0, bool)
+            both = b.filter(pa.array(ok))
+            keep = [same_record(x.split(" "), y.split(" ")) for x, y in zip(both.column("e_toks").to_pylist(), both.column("t_toks").to_pylist(), strict=True)]
+            both = both.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([both.column("e"), both.column("t")], names=["e", "t"])
+
+    close = pairs.select("e", "t", "e_toks", "t_toks", F.get("e_forms", "ef").alias("a"), F.get("t_forms", "tf").alias("b")).mapInArrow(verify, "e long, t long").distinct()
+    same = texts.where("n_eval > 0 and n_train > 0").select(F.col("text_id").alias("e"), F.col("text_id").alias("t"))
+    links = cut(close.unionByName(same))
+    # Texts of very many copies are few; their samples and links are split alike, so that no task writes out all pairs.
+    crowds = cut(texts.select("text_id", F.ceil(F.greatest("n_eval", "n_train") / COPIES).cast("int").alias("ways")).where("ways > 1"))
+    ways = F.broadcast(crowds)
+    members = text.join(ways, "text_id", "left").select("sample_id", "eval", "text_id", F.pmod(F.xxhash64("sample_id"), F.coalesce("ways", F.lit(1))).cast("int").alias("salt"))
+    for side, name, eval_ in (("e", "eval_id", True), ("t", "train_id", False)):
+        mine = members.where(F.col("eval") == eval_).select(F.col("text_id").alias(side), F.col("sample_id").alias(name), "salt")
+        split = links.join(ways.withColumnRenamed("text_id", side), side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1))).drop("ways")
+        links = split.join(mine, [side, "salt"]).drop("salt")
+    return links.select("eval_id", "train_id")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

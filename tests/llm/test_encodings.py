@@ -1,5 +1,6 @@
 import pytest
 
+from quorumlake.llm import bits
 from quorumlake.llm import encodings as E
 
 CLEAN = ["A façade of 8% agreement hid it.", "It’s not the price, it’s that.", "O pão e o coração são famosos, é óbvio, à noite.", "过了两周质检台才发现表述含糊，说明书写着。", "PÃO, CAFÉ E AÇÚCAR: ação.", "The word ‘привет’ on the box「カステラ」.", "├── notes ½ price ±25 °C €34 &eacute;"]
@@ -59,11 +60,11 @@ def test_shuffled_join_alike(spark):
 def test_full_bit_tables_drop_nothing(spark):
     clean, bad = corpus()
     want = run(spark, [*clean, *bad])
-    held, E.BITS = E.BITS, (6, 6)
+    held, bits.LIMITS = bits.LIMITS, (6, 6)
     try:
         got = run(spark, [*clean, *bad])
     finally:
-        E.BITS = held
+        bits.LIMITS = held
     assert got == want
 
 

@@ -30,21 +30,59 @@ def test_osa(a, b, d):
     assert O.osa(a, b, 3) == d
 
 
+def edited(s, k, rng):
+    """s with up to k edits, and most of them swaps."""
+    t = list(s)
+    for _ in range(rng.randint(0, k)):
+        at = rng.randrange(len(t) - 1)
+        what = rng.randrange(6)
+        if what == 0:
+            t.pop(at)
+        elif what == 1:
+            t.insert(at, "x")
+        elif what == 2:
+            t[at] = "y"
+        else:
+            t[at], t[at + 1] = t[at + 1], t[at]
+    return "".join(t)
+
+
 def test_one_segment_survives_k_edits():
+    """Whatever the edits, also swaps across the borders of segments: whenever the distance is within K, a key is shared."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    block = np.array([7])
+    for _ in range(3000):
+        s = "".join(rng.choice("abcd") for _ in range(rng.randint(6, 40)))
+        t = edited(s, O.most_edits(s), rng)
+        if O.osa(s, t, 3) <= O.most_edits(s):
+            assert set(O.segment_keys([s], block, True)[1]) & set(O.segment_keys([t], block, False)[1]), (s, t)
+
+
+def test_band_of_many_pairs_at_once():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(9)
+    a = ["".join(rng.choice("abé中") for _ in range(rng.randint(1, 30))) for _ in range(3000)] + ["", "", "ab"]
+    b = [edited(x, 5, rng) if len(x) > 6 else "".join(rng.choice("abé") for _ in range(rng.randint(0, 6))) for x in a[:-3]] + ["", "abc", ""]
+    most = np.array([rng.choice([1, 3]) for _ in a])
+    assert O.near(a, b, most).tolist() == [O.osa(x, y, int(k)) <= k for x, y, k in zip(a, b, most, strict=True)]
+
+
+def test_sketches_flip_within_the_bound():
     import random
 
     import numpy as np
 
-    random.seed(4)
-    for _ in range(300):
-        s = "".join(random.choice("abcd") for _ in range(random.randint(9, 40)))
-        t = list(s)
-        for _ in range(random.randint(0, O.K)):
-            at = random.randrange(len(t))
-            random.choice([lambda: t.pop(at), lambda: t.insert(at, "x"), lambda: t.__setitem__(at, "y")])()
-        t = "".join(t)
-        block = np.array([7])
-        assert set(O.segment_keys([s], block, True)[1]) & set(O.segment_keys([t], block, False)[1])
+    rng = random.Random(2)
+    a = ["".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(500)]
+    b = [edited(x, O.K, rng) for x in a]
+    assert np.bitwise_count(O.sketches(a) ^ O.sketches(b)).max() <= O.FLIPS
 
 
 def rows(spark, data):
@@ -104,3 +142,43 @@ def test_against_all_pairs(spark):
     split = {i: s for i, _, s, _, _ in data}
     want = sorted((a, b) for a, b in itertools.permutations(toks, 2) if split[a] == "test" and split[b] == "train" and O.same_record(toks[a], toks[b]))
     assert sorted(tuple(r) for r in O.overlaps(rows(spark, data)).collect()) == want
+
+
+@pytest.mark.parametrize("most", [1024, 0])
+def test_three_swaps_in_every_pair(spark, most):
+    """Against all pairs: each evaluation text is a training text with three swapped pairs of letters."""
+    import random
+
+    rng = random.Random(12)
+    words = "parking rule market gate people asked near tea hill kitchen running socks ceramic travel yellow window".split()
+    data = []
+    for i in range(60):
+        q = " ".join(rng.sample(words, 9)) + f", {i % 5} stars"
+        swapped = list(q)
+        free = [k for k in range(len(q) - 6) if q[k : k + 2].isalpha() and q[k] != q[k + 1]]
+        done = []
+        while len(done) < 3:
+            k = rng.choice(free)
+            if all(abs(k - x) > 8 for x in done):
+                swapped[k], swapped[k + 1] = swapped[k + 1], swapped[k]
+                done.append(k)
+        data += [(2 * i, T, "train", q, None), (2 * i + 1, T, "test", "".join(swapped), None)]
+    toks = {i: O.tokens(q) for i, _, _, q, _ in data}
+    want = sorted((a, b) for a in toks for b in toks if a % 2 and not b % 2 and O.same_record(toks[a], toks[b]))
+    assert len(want) > 30
+    held, O.MAX_BLOCK = O.MAX_BLOCK, most
+    try:
+        assert sorted(tuple(r) for r in O.overlaps(rows(spark, data)).collect()) == want
+    finally:
+        O.MAX_BLOCK = held
+
+
+def test_copies_are_written_out_by_several_tasks(spark):
+    data = [(i, T, "train" if i % 3 else "test", "by law, the parking rule in Megeluye, 61 people asked", None) for i in range(90)]
+    held = O.MAX_BLOCK, O.COPIES
+    O.MAX_BLOCK, O.COPIES = 0, 7
+    try:
+        got = sorted(tuple(r) for r in O.overlaps(rows(spark, data)).collect())
+    finally:
+        O.MAX_BLOCK, O.COPIES = held
+    assert got == sorted((a, b) for a in range(0, 90, 3) for b in range(90) if b % 3)
