@@ -62,12 +62,6 @@ def verified(reply: Column, answers: Column, fallback: Column) -> Column:
     return F.coalesce(F.get(answers, n), fallback)
 
 
-def tagged_prompt(reply: Column) -> Column:
-    """A prompt out of an optimiser's reply: between <prompt> tags, else what follows 'optimized prompt:' in any case."""
-    tagged = last_match(reply, r"(?s)<prompt>(.*?)</prompt>")
-    return F.trim(F.coalesce(tagged, last_match(reply, r"(?is)optimized prompt:\s*(.*)")))
-
-
 def with_placeholders(text: Column, images: Column) -> Column:
     """The text with one <image> mark for each image; those it has already count."""
     has = F.size(F.split(text, "<image>")) - 1

@@ -27,12 +27,6 @@ def by_entities(pred: Column, answer: Column) -> Column:
     return L.entities_match(L.entities(pred), L.entities(answer))
 
 
-def by_prefix(pred: Column, answer: Column) -> Column:
-    """Yes-no tasks read loosely: both begin with the same yes or no word of either language."""
-    yes = lambda c: F.when(F.lower(L.tidy(c)).rlike("^(yes|是)"), 1).when(F.lower(L.tidy(c)).rlike("^(no|否)"), 0)
-    return F.coalesce(yes(pred) == yes(answer), F.lit(False))
-
-
 def by_fields(pred: Column, answer: Column) -> Column:
     """Image classification: both categories and the orientations agree, numbers before labels left out."""
     same = F.lit(True)

@@ -60,7 +60,7 @@ _ROUND = "round(p_bar, 6) AS p_bar, round(p_e, 6) AS p_e, round(fleiss_kappa, 6)
 AGG12 = f"WITH {_fleiss_sql(_LAB, 'task')} SELECT task, n_items, valid_items, n_categories, {_ROUND} FROM fl"
 
 
-def agg18_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg18_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per task: means over the ten pairs of slots, and Fleiss' kappa."""
     pairs = A.pairwise(A.rater_pairs(_wide(spark, sf_dir), ["task"], COLS), ["task", "rater_1", "rater_2"])
     mean = pairs.groupBy("task").agg(F.count(F.lit(1)).alias("n_pairs"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("pa", "ac1_ref", "kappa")])
@@ -146,5 +146,5 @@ AGG15 = f"""WITH {_ENT}, m AS (SELECT s[1] AS told, list_filter(list_distinct(fl
 t AS (SELECT sum(len(list_intersect(told, gold)))::BIGINT AS tp, sum(len(told) - len(list_intersect(told, gold)))::BIGINT AS fp, sum(len(gold) - len(list_intersect(told, gold)))::BIGINT AS fn FROM m)
 SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1 FROM t"""
 
-QUERIES = {f.__name__: f for f in (agg11_pairwise, agg12_fleiss, agg18_report, agg19_image_fields, agg16_entity_pairs, agg14_entity_kappa, agg13_entity_fleiss, agg15_entity_micro)}
-SQL = {"agg11_pairwise": AGG11, "agg12_fleiss": AGG12, "agg18_report": AGG18, "agg19_image_fields": AGG19, "agg16_entity_pairs": AGG16, "agg14_entity_kappa": AGG14, "agg13_entity_fleiss": AGG13, "agg15_entity_micro": AGG15}
+QUERIES = {f.__name__: f for f in (agg11_pairwise, agg12_fleiss, agg18_people, agg19_image_fields, agg16_entity_pairs, agg14_entity_kappa, agg13_entity_fleiss, agg15_entity_micro)}
+SQL = {"agg11_pairwise": AGG11, "agg12_fleiss": AGG12, "agg18_people": AGG18, "agg19_image_fields": AGG19, "agg16_entity_pairs": AGG16, "agg14_entity_kappa": AGG14, "agg13_entity_fleiss": AGG13, "agg15_entity_micro": AGG15}

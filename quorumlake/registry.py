@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("multivalue", "votes", "agreement", "retrieval", "ordered", "pools", "evaluation")
+MODULES = ("multivalue", "readers", "votes", "agreement", "report", "retrieval", "ordered", "pools", "evaluation")
 
 
 def core() -> tuple[dict, dict]:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quorumlake.functions import readers
 from quorumlake.operators import pipelines, prompts
 from quorumlake.operators.provider import called, embedded, joined, stream_deltas, token_report
 from quorumlake.sources import files
@@ -82,7 +83,7 @@ def test_provider(spark):
 
 def test_prompts(spark):
     df = spark.createDataFrame([("look <image> here", ["u", "v"], 'x {"choice": 1}', ["a0", "a1"], "<prompt>New Rules</prompt>")], "t string, i array<string>, reply string, answers array<string>, opt string")
-    r = df.select(prompts.with_placeholders(F.col("t"), F.col("i")).alias("p"), prompts.blocks(F.col("t"), F.col("i")).alias("b"), prompts.verified(F.col("reply"), F.col("answers"), F.lit("f")).alias("v"), prompts.tagged_prompt(F.col("opt")).alias("o"), prompts.contrastive_context(F.lit("1"), F.lit(None)).alias("c")).first()
+    r = df.select(prompts.with_placeholders(F.col("t"), F.col("i")).alias("p"), prompts.blocks(F.col("t"), F.col("i")).alias("b"), prompts.verified(F.col("reply"), F.col("answers"), F.lit("f")).alias("v"), readers.document(F.col("opt")).alias("o"), prompts.contrastive_context(F.lit("1"), F.lit(None)).alias("c")).first()
     assert r.p == "look <image> here<image>" and [(b.type, b.value) for b in r.b] == [("text", "look "), ("image", "u"), ("text", " here")]
     assert r.v == "a1" and r.o == "New Rules" and r.c.startswith("Labelled rightly:\n1")
     known = spark.createDataFrame([("Tone Of Voice", "short", 2)], "name string, meta_rule string, evidence_count long")
