@@ -11,43 +11,57 @@ from ..tables import cut
 RANGE = 100_000  # events in one range of the order, about
 
 
+def ranged(events: DataFrame, seq: str, rows: int | None = None) -> DataFrame:
+    """events with _range, numbered in the order of seq: about `rows` events each, however seq is spread; equal seq stay together."""
+    rows = rows or RANGE
+    parts = max(1, -(-events.count() // rows))
+    return cut(events.repartitionByRange(parts, seq).withColumn("_range", F.spark_partition_id()))
+
+
+def _before(cutd: DataFrame, seq: str, value: str, by: list[str]) -> DataFrame:
+    """cutd with sum_before and n_before of its group: over all events with a smaller seq. Ranges are summed for themselves and
+    their totals added up: no single task sees all events.
+    """
+    totals = cutd.groupBy(*by, "_range").agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range")  # a row per group and range
+    base = totals.select(*by, "_range", (F.sum("_s").over(order) - F.col("_s")).alias("_bs"), (F.sum("_n").over(order) - F.col("_n")).alias("_bn"))
+    within = Window.partitionBy(*by, "_range").orderBy(seq).rangeBetween(Window.unboundedPreceding, -1)
+    out = cutd.withColumns({"_ws": F.coalesce(F.sum(value).over(within), F.lit(0)), "_wn": F.count(F.lit(1)).over(within)}).join(base, [*by, "_range"])
+    return out.withColumns({"sum_before": F.col("_bs") + F.col("_ws"), "n_before": F.col("_bn") + F.col("_wn")}).drop("_bs", "_bn", "_ws", "_wn")
+
+
 def running_before(events: DataFrame, seq: str, value: str, rows: int | None = None) -> DataFrame:
     """events with sum_before and n_before: the sum and number of `value` over all earlier events of the whole order.
 
-    The order is cut in ranges, each summed for itself, and the ranges' totals are added up: no single task sees all events.
     Equal seq values are ordered as one (none is before another).
     """
-    rows = rows or RANGE
-    ends = events.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if not ends.n:
-        return events.withColumns({"sum_before": F.lit(0).cast("long"), "n_before": F.lit(0).cast("long")})
-    width = max(1, (ends.hi - ends.lo) // max(1, ends.n // rows) + 1)
-    cutd = events.withColumn("_range", F.floor((F.col(seq) - F.lit(ends.lo)) / F.lit(width)))
-    totals = cutd.groupBy("_range").agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(F.lit(0)).orderBy("_range")  # a row per range
-    base = totals.select("_range", (F.sum("_s").over(order) - F.col("_s")).alias("_bs"), (F.sum("_n").over(order) - F.col("_n")).alias("_bn"))
-    within = Window.partitionBy("_range").orderBy(seq).rangeBetween(Window.unboundedPreceding, -1)
-    out = cutd.withColumns({"_ws": F.coalesce(F.sum(value).over(within), F.lit(0)), "_wn": F.count(F.lit(1)).over(within)}).join(F.broadcast(base), "_range")
-    return out.withColumns({"sum_before": F.col("_bs") + F.col("_ws"), "n_before": F.col("_bn") + F.col("_wn")}).drop("_range", "_bs", "_bn", "_ws", "_wn")
-
-
-def quality_scores(events: DataFrame, seq: str = "seq", key: str = "sample_key", helpful: str = "helpful", step: float = 0.1) -> DataFrame:
+    return _before(ranged(events, seq, rows), seq, value, []).drop("_range")
+
+
+def quality_scores(events: DataFrame, seq: str = "seq", key: str = "sample_key", helpful: str = "helpful", step: float = 0.1, rows: int | None = None) -> DataFrame:
     """(key, score, correct_count, incorrect_count, usage_count): scores in [0, 2], from 1.
 
     A helpful use adds step * (1 - g), another takes step * g, where g is the share of helpful uses of all samples before it
-    (0.5 at the start). Scores of one sample fold over its own events in order.
+    (0.5 at the start). Scores of one sample fold over its own events in order: a run of moves is min(hi, max(lo, score + d)),
+    whatever its length, so runs are folded by range and then put together, and no task holds all events of a sample.
     """
-    rated = running_before(events, seq, helpful)
+    rated = _before(ranged(events, seq, rows), seq, helpful, [])
     g = F.when(F.col("n_before") > 0, F.col("sum_before") / F.col("n_before")).otherwise(0.5)
-    moves = rated.select(key, helpful, F.struct(F.col(seq).alias("s"), F.when(F.col(helpful) == 1, step * (1 - g)).otherwise(-step * g).alias("d")).alias("e"))
-    folded = F.aggregate(F.array_sort(F.collect_list("e")), F.lit(1.0), lambda s, x: F.least(F.lit(2.0), F.greatest(F.lit(0.0), s + x.d)))
-    return moves.groupBy(key).agg(folded.alias("score"), F.sum(helpful).alias("correct_count"), F.sum(1 - F.col(helpful)).alias("incorrect_count"), F.count(F.lit(1)).alias("usage_count"))
-
-
-def running_rate(events: DataFrame, by: str, ok: str, seq: str = "seq") -> DataFrame:
-    """events with success_rate and total_injections of its group up to and with each event."""
-    w = Window.partitionBy(by).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumns({"success_rate": F.avg(ok).over(w), "total_injections": F.count(F.lit(1)).over(w)})
+    moves = rated.select(key, "_range", helpful, F.struct(F.col(seq).alias("s"), F.when(F.col(helpful) == 1, step * (1 - g)).otherwise(-step * g).alias("d")).alias("e"))
+    clamp = lambda x, lo, hi: F.least(hi, F.greatest(lo, x))
+    zero, two, far = F.lit(0.0), F.lit(2.0), F.lit(1e9)
+    start = F.struct((-far).alias("lo"), far.alias("hi"), zero.alias("d"))
+    run = F.aggregate(F.array_sort(F.collect_list("e")), start, lambda f, x: F.struct(clamp(f.lo + x.d, zero, two).alias("lo"), clamp(f.hi + x.d, zero, two).alias("hi"), (f.d + x.d).alias("d")))
+    parts = moves.groupBy(key, "_range").agg(run.alias("f"), F.sum(helpful).alias("c"), F.sum(1 - F.col(helpful)).alias("i"), F.count(F.lit(1)).alias("n"))
+    score = F.aggregate(F.array_sort(F.collect_list(F.struct("_range", "f"))), F.lit(1.0), lambda s, x: clamp(s + x.f.d, x.f.lo, x.f.hi))
+    return parts.groupBy(key).agg(score.alias("score"), F.sum("c").alias("correct_count"), F.sum("i").alias("incorrect_count"), F.sum("n").alias("usage_count"))
+
+
+def running_rate(events: DataFrame, by: str, ok: str, seq: str = "seq", rows: int | None = None) -> DataFrame:
+    """events with success_rate and total_injections of its group up to and with each event; seq must be unique in a group."""
+    out = _before(ranged(events, seq, rows), seq, ok, [by]).drop("_range")
+    n = F.col("n_before") + 1
+    return out.withColumns({"success_rate": (F.col("sum_before") + F.col(ok)) / n, "total_injections": n}).drop("sum_before", "n_before")
 
 
 def last_write(events: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:

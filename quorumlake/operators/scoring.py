@@ -74,8 +74,11 @@ def stratified(scored: DataFrame, by: list[str], level: str = "agreement_level")
     return scored.groupingSets([[F.col(c) for c in (*by, level)], [F.col(c) for c in by]], *by, level).agg(*aggs).withColumn(level, F.coalesce(level, F.lit("overall")))
 
 
-def error_split(rows: DataFrame, keys: list[str], agent: str = "agent_name", right: str = "is_correct") -> DataFrame:
-    """The wrong answers that count against their agent: annotators' always, the verifier's where some annotator was right."""
+def error_split(rows: DataFrame, keys: list[str], agent: str = "agent_name", right: str = "is_correct", verified: str | None = None) -> DataFrame:
+    """The wrong answers that count against their agent: annotators' always, the verifier's where some annotator was right
+    (and, with a column `verified`, the sample was verified at all).
+    """
     some = F.max(F.when(F.col(agent).startswith("annotator") & F.col(right), 1).otherwise(0)).alias("_some")
     joined = rows.join(rows.groupBy(*keys).agg(some), keys)
-    return joined.where((F.col(right) == F.lit(False)) & (F.col(agent).startswith("annotator") | (F.col("_some") == 1))).drop("_some")
+    asked = F.col(verified) if verified else F.lit(True)
+    return joined.where((F.col(right) == F.lit(False)) & (F.col(agent).startswith("annotator") | ((F.col("_some") == 1) & asked))).drop("_some")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import scoring as S
 from ..operators import voting as V
+from ..operators.provider import token_report
 from ..tables import table
 from .base import BLANK_SQL, RESULTS, TASKS, VOTES, labelled, results_once, samples_once
 
@@ -158,8 +159,7 @@ AGG08 = f"WITH {RESULTS}, r AS (SELECT task, run_no, avg(is_correct::INT::DOUBLE
 
 def agg22_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens in and out and calls per agent, and in all ('total')."""
-    r = results_once(spark, sf_dir).select("agent_name", L.token_count(F.col("query")).alias("i"), L.token_count(F.col("annotation")).alias("o"))
-    return r.rollup("agent_name").agg(F.sum("i").alias("input"), F.sum("o").alias("output"), F.count(F.lit(1)).alias("calls")).select(F.coalesce("agent_name", F.lit("total")).alias("step"), "input", "output", "calls")
+    return token_report(results_once(spark, sf_dir).select(F.col("agent_name").alias("step"), F.col("query").alias("prompt"), F.col("annotation").alias("answer")))
 
 
 AGG22 = f"""WITH {RESULTS}, t AS (SELECT agent_name, CASE WHEN length(query) > 0 THEN length(query) // 4 + 1 ELSE 0 END AS i, CASE WHEN length(annotation) > 0 THEN length(annotation) // 4 + 1 ELSE 0 END AS o FROM res)
@@ -176,15 +176,6 @@ AGG28 = f"""WITH {RESULTS}, r AS (SELECT * FROM res WHERE is_correct IS NOT NULL
 SELECT agent_name, task, count(*) AS n FROM s WHERE NOT is_correct AND (starts_with(agent_name, 'annotator') OR helped = 1) GROUP BY ALL"""
 
 
-def agg10_unscored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each agent's answers without a verdict."""
-    r = results_once(spark, sf_dir)
-    return r.groupBy("agent_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_correct").isNull()).alias("n_unscored"), F.round(100 * F.avg(F.col("is_correct").isNull().cast("double")), 6).alias("percent"))
-
-
-AGG10 = f"WITH {RESULTS} SELECT agent_name, count(*) AS n, count(*) FILTER (is_correct IS NULL) AS n_unscored, round(100 * avg((is_correct IS NULL)::INT::DOUBLE), 6) AS percent FROM res GROUP BY agent_name"
-
-
 def prj07_sample_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity key of each sample: text, and picture where there is one."""
     s = samples_once(spark, sf_dir).where("query is not null")
@@ -205,5 +196,5 @@ def evl01_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.against_all(r.join(info, "sample_id")).groupBy("task", "model_name").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_correct_hit2").alias("n_right"))
 
 
-QUERIES = {f.__name__: f for f in (scl15_labels, scl01_json, scl04_scores, scl08_guidance, scl07_prefixes, agg06_multi_metrics, agg07_stratified, agg08_runs, agg22_tokens, agg28_error_split, agg10_unscored, prj07_sample_key, evl01_accuracy)}
-SQL = {"scl15_labels": SCL15, "scl01_json": SCL01, "scl04_scores": SCL04, "scl08_guidance": SCL08, "scl07_prefixes": SCL07, "agg06_multi_metrics": AGG06, "agg07_stratified": AGG07, "agg08_runs": AGG08, "agg22_tokens": AGG22, "agg28_error_split": AGG28, "agg10_unscored": AGG10, "prj07_sample_key": PRJ07}
+QUERIES = {f.__name__: f for f in (scl15_labels, scl01_json, scl04_scores, scl08_guidance, scl07_prefixes, agg06_multi_metrics, agg07_stratified, agg08_runs, agg22_tokens, agg28_error_split, prj07_sample_key, evl01_accuracy)}
+SQL = {"scl15_labels": SCL15, "scl01_json": SCL01, "scl04_scores": SCL04, "scl08_guidance": SCL08, "scl07_prefixes": SCL07, "agg06_multi_metrics": AGG06, "agg07_stratified": AGG07, "agg08_runs": AGG08, "agg22_tokens": AGG22, "agg28_error_split": AGG28, "prj07_sample_key": PRJ07}
