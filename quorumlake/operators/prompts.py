@@ -11,9 +11,18 @@ from ..functions.labels import json_block, json_field, last_match
 FORMATS = {
     "entity_extraction": 'Answer with JSON: {"entities": [{"text": "...", "category": "..."}]}',
     "image_classification": 'Answer with JSON: {"一级品类": "...", "二级品类": "...", "话术分析": ["..."]}',
+    "disease_privacy_assessment": 'Answer with JSON: {"隐私合规评估": "有" or "无", "label": "..."}',
+    "image_text_relevance": 'Answer with JSON: {"label": "a grade: 0, 1, 1.5 or 2"}',
+    "image_attribution_recognition": 'Answer with JSON: {"label": "0, 1 or 2"}',
+    "social_text_classification": 'Answer with JSON: {"label": "a category"}',
+    "billing_scenario_classification": 'Answer with JSON: {"label": "a scenario"}',
+    "verification": 'Answer with JSON: {"choice": <number>}',
 }
 DEFAULT_FORMAT = 'Answer with JSON: {"label": "..."}'
-MODES = {"direct": "Give the label at once.", "cot": "Think step by step, then give the label.", "icl": "Use the examples as a guide, then give the label."}
+MODES = {"direct": "Give the label at once.", "cot": "Think step by step, then give the label.", "icl": "Use the examples as a guide, then give the label.", "self_consistency": "Reason on your own, then give the label.", "verify": "Check the answers against the rules.", "optimise": "Improve the rules.", "attribute": "Name the cause of the error.", "induce": "Name what sets the examples apart."}
+DIMENSIONS = 5  # dimensions shown with a sample, at most
+ERRORS = 8  # errors shown to an optimiser, at most
+DIMENSION = "array<struct<name: string, meta_rule: string, rule_intent: string, applicable_boundary: string, decision_boundary: string, evidence_count: long>>"
 
 
 def answer_format(task: Column) -> Column:
@@ -98,3 +107,65 @@ def active_dimensions(dims: DataFrame, least: int = 2) -> DataFrame:
     """Dimensions of enough evidence, most first; all of them where none has it."""
     enough = dims.where(F.col("evidence_count") >= least)
     return (dims if enough.isEmpty() else enough).orderBy(F.desc("evidence_count"), "name")
+
+
+def _lines(parts: list[Column]) -> Column:
+    return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull()), "\n")
+
+
+def _told(head: str, c: Column) -> Column:
+    """head and the text, NULL for an empty text."""
+    return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(head), c))
+
+
+def dimension_prompt(rules: Column, query: Column, context: Column, dims: Column, form: Column) -> Column:
+    """Rules, the first DIMENSIONS dimensions of the sample, contrasting examples if any, the query and the answer format."""
+    or_none = lambda c, text: F.coalesce(F.when(c != "", c), F.lit(text))
+    item = lambda d, i: F.concat((i + 1).cast("string"), F.lit(". "), d["name"], F.lit("\n   intent: "), or_none(d.rule_intent, "none yet"), F.lit("\n   decided by: "), or_none(d.decision_boundary, "none yet"), F.lit("\n   applies to: "), or_none(d.applicable_boundary, "related cases"))
+    listed = F.array_join(F.transform(F.slice(dims, 1, DIMENSIONS), item), "\n")
+    shown = F.when(F.size(dims) > 0, F.concat(F.lit("What to look at:\n"), listed))
+    return _lines([rules, shown, F.when(F.coalesce(context, F.lit("")) != "", context), F.concat(F.lit("Text: "), query), form])
+
+
+def dimension_framework(dims: Column) -> Column:
+    """What was learned about the dimensions, to stand behind a prompt; '' without any. A rule that repeats the name is left out."""
+    item = lambda d, i: _lines([F.concat(F.lit("Dimension "), (i + 1).cast("string"), F.lit(": "), d["name"]), F.when(d.meta_rule != d["name"], _told("- rule: ", d.meta_rule)), _told("- intent: ", d.rule_intent), _told("- applies to: ", d.applicable_boundary), _told("- decided by: ", d.decision_boundary), F.concat(F.lit("- seen in "), F.coalesce(d.evidence_count, F.lit(0)).cast("string"), F.lit(" samples"))])
+    return F.when(F.size(dims) > 0, F.concat(F.lit("Before you decide, weigh these dimensions:\n"), F.array_join(F.transform(dims, item), "\n"))).otherwise("")
+
+
+def dimension_listing(dims: Column) -> Column:
+    """The known dimensions, numbered, with what is known of each."""
+    item = lambda d, i: _lines([F.concat((i + 1).cast("string"), F.lit(". "), d["name"]), _told("   rule: ", d.meta_rule), _told("   intent: ", d.rule_intent), _told("   applies to: ", d.applicable_boundary), _told("   decided by: ", d.decision_boundary), F.concat(F.lit("   evidence: "), F.coalesce(d.evidence_count, F.lit(0)).cast("string"))])
+    return F.when(F.size(dims) > 0, F.array_join(F.transform(dims, item), "\n\n")).otherwise("No dimensions are known yet.")
+
+
+def error_list(errors: Column, most: int = ERRORS) -> Column:
+    """The first errors array<struct<query, output, truth, reason>> as a numbered list."""
+    item = lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(e.query, F.lit("")), F.lit("\n   answered: "), F.coalesce(e.output, F.lit("")), F.lit("\n   right: "), F.coalesce(e.truth, F.lit("")), F.coalesce(_told("\n   because: ", e.reason), F.lit("")))
+    return F.array_join(F.transform(F.slice(errors, 1, most), item), "\n")
+
+
+def optimisation_prompt(rules: Column, errors: Column, dims: Column) -> Column:
+    """An agent's rules, its errors, the known dimensions, and the request for better rules within tags."""
+    return F.concat_ws("\n\n", F.lit(MODES["optimise"]), F.concat(F.lit("Rules:\n"), rules), F.concat(F.lit("Errors:\n"), error_list(errors)), F.concat(F.lit("Dimensions:\n"), dimension_listing(dims)), F.lit("Give the new rules between <prompt> and </prompt>."))
+
+
+def attribution_history(steps: Column) -> Column:
+    """array<struct<role, content>> of a run's steps array<struct<step, response, winning_label, unanimous>>: annotators numbered
+    as they come, the vote in words, the verifier; other steps are left out.
+    """
+    numbered = F.filter(steps, lambda s: s.step.contains("annotation"))
+    annotators = F.transform(numbered, lambda s, i: F.struct(F.concat(F.lit("Annotator"), (i + 1).cast("string")).alias("role"), s.response.alias("content")))
+    vote = lambda s: F.concat(F.lit("vote: "), F.coalesce(s.winning_label, F.lit("unknown")), F.when(s.unanimous, F.lit(", unanimous")).otherwise(F.lit("")))
+    place = lambda s, i: F.size(F.filter(F.slice(steps, 1, i + 1), lambda x: x.step.contains("annotation")))
+    each = F.transform(steps, lambda s, i: F.when(s.step.contains("annotation"), F.get(annotators, place(s, i) - 1)).when(s.step.contains("aggregation"), F.struct(F.lit("Aggregator").alias("role"), vote(s).alias("content"))).when(s.step.contains("verification"), F.struct(F.lit("Verifier").alias("role"), s.response.alias("content"))))
+    return F.filter(each, lambda x: x.isNotNull())
+
+
+def report_text(report: DataFrame, name: str, title: str) -> DataFrame:
+    """One row (text): a report as lines, a heading and one line for each of its rows in order of `name`, numbers with four decimals."""
+    numbers = [c for c, t in report.dtypes if t == "double"]
+    others = [c for c in report.columns if c not in numbers and c != name]
+    cells = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in others] + [F.concat(F.lit(f"{c}="), F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))).otherwise("-")) for c in numbers]
+    lines = report.select(F.col(name).cast("string").alias("k"), F.concat_ws(" ", F.concat(F.col(name).cast("string"), F.lit(":")), *cells).alias("line"))
+    return lines.agg(F.concat(F.lit(title + "\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x.line), "\n")).alias("text"))

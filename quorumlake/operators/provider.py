@@ -6,7 +6,9 @@ Calls run in partitions; a failed one gives NULL and its error, and is tried aga
 from __future__ import annotations
 
 import hashlib
+import json
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import token_count
+from ..tables import cut
 
 Provider = Callable[[str], str]
 Embedder = Callable[[str], list[float]]
@@ -37,8 +40,6 @@ def joined(deltas: Iterator[str]) -> str:
 
 def stream_deltas(lines: Iterator[str]) -> Iterator[str]:
     """The content deltas of server-sent events ('data: {json}' lines), up to the end mark."""
-    import json
-
     for line in lines:
         if not line.startswith("data:"):
             continue
@@ -52,6 +53,44 @@ def stream_deltas(lines: Iterator[str]) -> Iterator[str]:
             return
 
 
+def http_provider(url: str, model: str, key: str | None = None, stream: bool = False, temperature: float = 0.0, top_p: float = 1.0, timeout: float = 300.0) -> Provider:
+    """A provider that asks a chat completion service: one POST for each prompt, the whole or the streamed answer. Failures are
+    raised, so that called() tries again and keeps the error.
+    """
+
+    def ask(prompt: str) -> str:
+        body = {"model": model, "messages": [{"role": "user", "content": prompt}], "stream": stream, "temperature": temperature, "top_p": top_p}
+        with _post(url, body, key, timeout) as r:
+            if stream:
+                return joined(stream_deltas(x.decode() for x in r))
+            return json.load(r)["choices"][0]["message"]["content"]
+
+    return ask
+
+
+def http_embedder(url: str, model: str, key: str | None = None, timeout: float = 300.0) -> Embedder:
+    """An embedder that asks an embedding service; failures are raised."""
+
+    def ask(text: str) -> list[float]:
+        with _post(url, {"model": model, "input": [text]}, key, timeout) as r:
+            return json.load(r)["data"][0]["embedding"]
+
+    return ask
+
+
+def _post(url: str, body: dict, key: str | None, timeout: float):  # noqa: ANN202
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+    return urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=timeout)
+
+
+def tracked(df: DataFrame, step: str, prompt: str = "prompt", provider: Provider = offline, **how) -> tuple[DataFrame, DataFrame]:  # noqa: ANN003
+    """called(), and the record (step, prompt, answer) of the calls, for token_report(). The answers are kept, so that nothing is
+    asked twice.
+    """
+    out = cut(called(df, prompt, provider, **how))
+    return out, out.select(F.lit(step).alias("step"), F.col(prompt).alias("prompt"), "answer")
+
+
 def called(df: DataFrame, prompt: str = "prompt", provider: Provider = offline, tries: int = 5, wait: float = 1.0) -> DataFrame:
     """df with answer and error: the provider's text for each prompt; after `tries` failures NULL and the last error."""
     from pyspark.sql import types as T
@@ -78,17 +117,24 @@ def called(df: DataFrame, prompt: str = "prompt", provider: Provider = offline,
     return df.mapInPandas(run, schema)
 
 
-def embedded(texts: DataFrame, store: DataFrame, embedder: Embedder = offline_embedding, key: str = "query") -> DataFrame:
-    """The store with an embedding for every text: distinct lower-cased texts it lacks are sent once each; failures stay out."""
+def embedded(texts: DataFrame, store: DataFrame, embedder: Embedder = offline_embedding, key: str = "query", tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """The store with an embedding for every text: distinct lower-cased texts it lacks are sent once each; what fails `tries`
+    times stays out.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for t in f[key]:
-                try:
-                    out.append(embedder(t))
-                except Exception:  # noqa: BLE001
-                    out.append(None)
+                got = None
+                for n in range(tries):
+                    try:
+                        got = embedder(t)
+                        break
+                    except Exception:  # noqa: BLE001
+                        if n + 1 < tries:
+                            time.sleep(wait)
+                out.append(got)
             yield pd.DataFrame({key: f[key], "embedding": out})
 
     missing = texts.where(F.col(key).isNotNull()).select(F.lower(key).alias(key)).distinct().join(store.select(key), key, "left_anti")

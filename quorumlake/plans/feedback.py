@@ -82,7 +82,7 @@ def win08b_evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.evicted(last.select(F.concat_ws(":", "agent_name", "sample_key").alias("key"), "at"))
 
 
-WIN08BE = f"WITH {EV}, l AS (SELECT agent_name || ':' || sample_key AS key, max(seq) AS "at" FROM ev GROUP BY ALL) SELECT key, "at" FROM l ORDER BY "at" DESC, key LIMIT 100"
+WIN08BE = f"""WITH {EV}, l AS (SELECT agent_name || ':' || sample_key AS key, max(seq) AS "at" FROM ev GROUP BY ALL) SELECT key, "at" FROM l ORDER BY "at" DESC, key LIMIT 100"""
 
 
 def win07c_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.labels import sample_key
+from ..functions.labels import ENTITY, sample_key
 from ..operators.ordered import upsert_bad_cases
 from ..operators.voting import gathered, vote_info
 
@@ -25,6 +25,7 @@ TASKS = {
 }
 SAMPLE = T.StructType([T.StructField("query", T.StringType()), T.StructField("image_url", T.StringType()), *(T.StructField(f"annotation_{i}", T.StringType()) for i in range(1, SLOTS + 1))])
 BAD_CASE = "sample_key string, agent_name string, error_output string, error_reason string, num_wrong long, optimize_priority double"
+DIMENSIONS = "name string, meta_rule string, rule_intent string, applicable_boundary string, decision_boundary string, evidence_count long"
 RESULT = "query string, annotation string, is_correct boolean, ground_truth struct<all_annotations: array<string>>"
 
 
@@ -57,7 +58,7 @@ def read_samples(spark: SparkSession, path: str, task: str, limit: int | None =
     """
     rows = gathered(spark.read.schema(SAMPLE).option("multiLine", True).json(path))
     if limit is not None:
-        rows = rows.limit(limit)
+        rows = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(limit).drop("_at")  # the first of the file
     rows = vote_info(rows.withColumn("query", query_struct(kind(task))).withColumn("task", F.lit(task.removeprefix("multi_"))))
     return rows.withColumn("sample_key", sample_key(F.col("query.text"), F.col("query.image_urls")))
 
@@ -87,7 +88,12 @@ def write_bad_cases(spark: SparkSession, path: str, batch: DataFrame) -> DataFra
     from ..tables import cut
 
     merged = cut(upsert_bad_cases(read_bad_cases(spark, path), batch))
-    merged.write.mode("overwrite").json(path)
+    merged.write.mode("overwrite").json(f"{path}.new")  # whole before the old one goes
+    jvm = spark.sparkContext._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.new"))
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    fs.rename(new, old)
     return merged
 
 
@@ -104,13 +110,24 @@ def add_embeddings(store: DataFrame, new: DataFrame, key: str = "query") -> Data
     return store.unionByName(fresh.select(*store.columns))
 
 
+def read_entity_samples(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """read_samples() of the entity task with entities: the annotations as arrays of (text, category), NULL for one that is none."""
+    rows = read_samples(spark, path, "entity_extraction", limit)
+    return rows.withColumn("entities", F.transform("all_annotations", lambda a: F.from_json(F.when(a.startswith("["), a), ENTITY)))
+
+
 def read_rules(spark: SparkSession, folder: str, lang: str = "zh") -> DataFrame:
-    """The rule document of a folder: '*rules*<lang>' first, then any .md or .txt, by name; no row where there is none."""
-    docs = spark.read.text([f"{folder}/*"], wholetext=True).withColumn("path", F.input_file_name())
+    """(path, text) of the rule document of a folder: '*rules*<lang>' first, then any .md or .txt, by name; others are not read.
+
+    FileNotFoundError where there is none.
+    """
+    listed = spark.read.format("binaryFile").load(f"{folder}/*").select("path")
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    docs = docs.where(name.rlike(r"\.(md|txt)$"))
     order = F.when(name.rlike(rf"rules.*{lang}\.(md|txt)$"), 0).otherwise(1)
-    return docs.orderBy(order, "path").limit(1).select("path", F.col("value").alias("text"))
+    first = listed.where(name.rlike(r"\.(md|txt)$")).orderBy(order, "path").limit(1).collect()
+    if not first:
+        raise FileNotFoundError(f"no rule document in {folder}")
+    return spark.read.text(first[0].path, wholetext=True).select(F.lit(first[0].path).alias("path"), F.col("value").alias("text"))
 
 
 def best_epoch(spark: SparkSession, paths: str, gate: bool = False) -> DataFrame:
@@ -146,6 +163,36 @@ def write_report(df: DataFrame, path: str) -> None:
     nan_to_null(df).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_evaluation(scored: DataFrame, path: str, config: dict[str, str], by: list[str] | None = None) -> None:
+    """An evaluation: its results, one row of summary with the configuration, and the stratified statistics, each in a folder."""
+    from ..operators.scoring import stratified
+
+    nan_to_null(scored).write.mode("overwrite").json(f"{path}/results")
+    rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c.replace("is_correct", "rate"))
+    settings = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(str(v))) for k, v in config.items()])) if config else F.lit(None).cast("map<string,string>")
+    summary = scored.agg(F.count(F.lit(1)).alias("total"), rate("is_correct_hit1"), rate("is_correct_hit2"), rate("is_correct_majority")).withColumn("config", settings)
+    write_report(summary, f"{path}/summary")
+    write_report(stratified(scored.withColumn("_all", F.lit("all")), by or ["_all"]).drop("_all"), f"{path}/stratified")
+
+
+def write_single_agent(runs: DataFrame, path: str, mode: str, verdict: str = "is_correct_hit2", run: str = "run_no") -> None:
+    """Runs of a single agent: their results, and one document with the accuracy of each run, the mean and the population deviation."""
+    nan_to_null(runs).write.mode("overwrite").partitionBy(run).json(f"{path}/runs")
+    each = runs.groupBy(run).agg(F.avg(F.col(verdict).cast("double")).alias("accuracy"))
+    document = each.agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("num_runs"), F.transform(F.array_sort(F.collect_list(F.struct(run, "accuracy"))), lambda x: x.accuracy).alias("per_run_accuracies"), F.avg("accuracy").alias("average_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"))
+    write_report(document, f"{path}/summary")
+
+
+def save_dimensions(dims: DataFrame, path: str) -> None:
+    """The dimension table as JSON lines."""
+    dims.write.mode("overwrite").json(path)
+
+
+def load_dimensions(spark: SparkSession, path: str) -> DataFrame:
+    """The dimension table; an empty one where there is none."""
+    return spark.read.schema(DIMENSIONS).json(path) if exists(spark, path) else spark.createDataFrame([], DIMENSIONS)
+
+
 def output_name(prefix: str, mode: str, kind_: str, epoch: int | None = None) -> str:
     """A result file's name."""
     return "_".join([prefix, mode, kind_, *([f"epoch{epoch}"] if epoch is not None else [])]) + ".json"
