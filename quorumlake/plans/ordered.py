@@ -109,25 +109,6 @@ AGG30 = f"""WITH {EV}, a AS (SELECT epoch, run, avg(helpful) AS acc FROM ev GROU
 SELECT epoch, round("before", 6) AS "before", round("after", 6) AS "after", round("after" - "before", 6) AS change, CASE WHEN "after" > "before" THEN '↑' WHEN "after" < "before" THEN '↓' ELSE '→' END AS arrow FROM l"""
 
 
-def src10_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best epoch by accuracy, the later one of equals."""
-    return agg30_epochs(spark, sf_dir).select("epoch", "after").orderBy(F.desc("after"), F.desc("epoch")).limit(1)
-
-
-SRC10 = AGG30.replace("SELECT epoch, round(\"before\"", "SELECT epoch, \"after\" FROM (SELECT epoch, round(\"before\"") + ") ORDER BY \"after\" DESC, epoch DESC LIMIT 1"
-
-
-def snk03_bad_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bad cases (error events) of the first half of the order, updated by those of the second."""
-    bad = _ev(spark, sf_dir).where("event_type = 'error'").select("sample_key", "agent_name", "seq", F.round("value", 3).cast("string").alias("error_output"), F.lit("mislabelled").alias("error_reason"))
-    none = spark.createDataFrame([], "sample_key long, agent_name string, error_output string, error_reason string, num_wrong long, optimize_priority double")
-    mid = F.lit(5000)
-    return O.upsert_bad_cases(O.upsert_bad_cases(none, bad.where(F.col("seq") < mid)), bad.where(F.col("seq") >= mid)).drop("error_output")
-
-
-SNK03 = f"WITH {EV} SELECT sample_key, agent_name, 'mislabelled' AS error_reason, count(*) AS num_wrong, 1.0::DOUBLE AS optimize_priority FROM ev WHERE event_type = 'error' GROUP BY ALL"
-
-
 def set01_union_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of the first epoch, then those of the pool, each once: the earlier part has its row."""
     e = _ev(spark, sf_dir).where("helpful = 1").select("sample_key", "seq", "epoch")
@@ -166,5 +147,5 @@ def agg24_exploration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AGG24 = f"WITH {EV}, c AS (SELECT sample_key, count(*) AS n FROM ev GROUP BY ALL) SELECT sum(n)::BIGINT AS total_selections, count(*) AS unique_samples, round(avg(n), 6) AS avg_selections, max(n) AS max_selections, min(n) AS min_selections FROM c"
 
-QUERIES = {f.__name__: f for f in (win01_quality, agg23_quality_stats, top03_best_and_worst, win03_success_rate, win07_pool, win04_ucb, win09_recent, win10_accepted, agg30_epochs, src10_best_epoch, snk03_bad_cases, set01_union_first, top01_slices, agg25_coverage, agg24_exploration)}
-SQL = {"win01_quality": WIN01, "agg23_quality_stats": AGG23, "top03_best_and_worst": TOP03, "win03_success_rate": WIN03, "win07_pool": WIN07, "win04_ucb": WIN04, "win09_recent": WIN09, "win10_accepted": WIN10, "agg30_epochs": AGG30, "src10_best_epoch": SRC10, "snk03_bad_cases": SNK03, "set01_union_first": SET01, "top01_slices": TOP01, "agg25_coverage": AGG25, "agg24_exploration": AGG24}
+QUERIES = {f.__name__: f for f in (win01_quality, agg23_quality_stats, top03_best_and_worst, win03_success_rate, win07_pool, win04_ucb, win09_recent, win10_accepted, agg30_epochs, set01_union_first, top01_slices, agg25_coverage, agg24_exploration)}
+SQL = {"win01_quality": WIN01, "agg23_quality_stats": AGG23, "top03_best_and_worst": TOP03, "win03_success_rate": WIN03, "win07_pool": WIN07, "win04_ucb": WIN04, "win09_recent": WIN09, "win10_accepted": WIN10, "agg30_epochs": AGG30, "set01_union_first": SET01, "top01_slices": TOP01, "agg25_coverage": AGG25, "agg24_exploration": AGG24}

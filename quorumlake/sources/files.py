@@ -51,22 +51,22 @@ def query_struct(how: str) -> Column:
     return F.struct(F.col("query").alias("text"), images.alias("image_urls"))
 
 
-def read_samples(spark: SparkSession, path: str, task: str, limit: int | None = None) -> DataFrame:
-    """A task's samples from a JSON array: query, all_annotations, vote record and sample_key.
+def read_samples(spark: SparkSession, path: str, task: str, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """A task's samples from a JSON array (lines: an object a line): query, all_annotations, vote record and sample_key.
 
     Nested annotations stay JSON text. Samples with three empty slots or more are left out before the limit counts.
     """
-    rows = gathered(spark.read.schema(SAMPLE).option("multiLine", True).json(path))
+    rows = gathered(spark.read.schema(SAMPLE).option("multiLine", not lines).json(path))
     if limit is not None:
         rows = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(limit).drop("_at")  # the first of the file
     rows = vote_info(rows.withColumn("query", query_struct(kind(task))).withColumn("task", F.lit(task.removeprefix("multi_"))))
     return rows.withColumn("sample_key", sample_key(F.col("query.text"), F.col("query.image_urls")))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation output in any of its layouts: the first run's test_results, test_results, or results."""
+def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Evaluation output in any of its layouts: the first run's test_results, test_results, or results. lines: a document a line."""
     item = f"array<struct<{RESULT.replace(' string', ':string').replace(' boolean', ':boolean').replace(' struct', ':struct').replace('all_annotations: ', 'all_annotations:')}>>"
-    raw = spark.read.schema(f"runs array<struct<test_results:{item}>>, test_results {item}, results {item}").option("multiLine", True).json(path)
+    raw = spark.read.schema(f"runs array<struct<test_results:{item}>>, test_results {item}, results {item}").option("multiLine", not lines).json(path)
     first = F.get("runs", F.lit(0)).test_results
     return raw.select(F.input_file_name().alias("path"), F.posexplode(F.coalesce(first, "test_results", "results")).alias("pos", "r")).select("path", "pos", "r.*")
 
