@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import entities, entity_key, is_empty, normalized, with_label
+from ..functions.labels import OTHER, entities, entity_key, is_empty, json_block, json_field, last_part, normalized, with_label
 
 SLOTS = 5
 
@@ -44,7 +44,8 @@ def vote_info(df: DataFrame, annotations: str = "all_annotations", ignore_missin
 
 
 def hard_vote(labels: Column, raw: Column) -> Column:
-    """The agents' vote: a struct of winner, its votes, total, confidence, margin, flags and the winner's raw text.
+    """The agents' vote: a struct of winner, its votes, total, confidence, margin, flags, number of different labels and the
+    winner's raw text.
 
     An empty label votes, but where it wins the runner-up takes its place; with nothing but empty labels there is no
     winner, confidence 0, and the first agent's text stands.
@@ -64,6 +65,7 @@ def hard_vote(labels: Column, raw: Column) -> Column:
         (~none & (votes == total)).alias("is_unanimous"),
         (~none & (F.size(t) == 3) & (votes == 1)).alias("is_three_way_tie"),
         F.size(F.filter(labels, lambda x: x == "")).alias("empty_results_count"),
+        F.size(t).alias("num_clusters"),
         F.coalesce(best.answer, F.get(raw, F.lit(0)), F.lit("")).alias("answer"),
     )
 
@@ -71,10 +73,12 @@ def hard_vote(labels: Column, raw: Column) -> Column:
 def agent_vote(answers: DataFrame, keys: list[str], agent: str = "agent_name", annotation: str = "annotation", task: str = "task") -> DataFrame:
     """One row per keys and task with the hard vote over its agents, in order of their names.
 
-    Entity answers vote as sets; a missing answer is an empty label.
+    Entity answers vote as sets, image classifications by their three fields (an answer without JSON by its text); a missing
+    answer is an empty label.
     """
     answers = with_label(answers, annotation, "_label", task=task)
-    label = F.when(F.col(task) == "entity_extraction", F.coalesce(entity_key(entities(F.col(annotation))), F.lit(""))).otherwise(F.col("_label"))
+    fields = F.concat_ws("|", *[F.coalesce(json_field(json_block(last_part(F.col(annotation))), k), F.lit(OTHER)) for k in ("一级品类", "二级品类", "话术分析")])
+    label = F.when(F.col(task) == "entity_extraction", F.coalesce(entity_key(entities(F.col(annotation))), F.lit(""))).when((F.col(task) == "image_classification") & json_block(last_part(F.col(annotation))).isNotNull(), fields).otherwise(F.col("_label"))
     rows = answers.select(*keys, task, F.struct(F.col(agent).alias("agent"), F.coalesce(label, F.lit("")).alias("label"), F.coalesce(annotation, F.lit("")).alias("raw")).alias("a"))
     grouped = rows.groupBy(*keys, task).agg(F.array_sort(F.collect_list("a")).alias("a"))
     return grouped.withColumn("vote", hard_vote(F.col("a.label"), F.col("a.raw"))).select(*keys, task, "vote.*")

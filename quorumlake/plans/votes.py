@@ -83,9 +83,11 @@ AGG09 = f"""WITH {HARD} SELECT task, CASE WHEN winning_count > 0 AND winning_cou
 
 
 def agg02_agent_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vote of the agents on each sample and run, on the labels read out of their answers (entities as sets)."""
-    r = results_once(spark, sf_dir).where("agent_name like 'annotator%' and sample_id is not null and task <> 'image_classification'")
-    return V.agent_vote(r, ["sample_id", "run_no"]).drop("answer")
+    """Vote of the agents on each sample and run, on the labels read out of their answers, the last of each agent."""
+    r = results_once(spark, sf_dir).where("agent_name like 'annotator%' and sample_id is not null")
+    last = r.groupBy("sample_id", "task", "run_no", "agent_name").agg(F.max_by("annotation", "result_id").alias("annotation"))
+    v = V.agent_vote(last, ["sample_id", "run_no"])
+    return v.select("sample_id", "run_no", "task", "winning_label", *[F.col(c).cast(BIG).alias(c) for c in ("winning_count", "total_votes", "margin", "empty_results_count", "num_clusters")], F.round("confidence", 6).alias("confidence"), "is_unanimous", "is_three_way_tie", "answer")
 
 
 QUERIES = {f.__name__: f for f in (agg01_vote_info, agg29_agreement_profile, prj01_empty_slots, agg21_category_distribution, agg02_hard_vote, agg09_confidence_buckets, agg02_agent_vote)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("multivalue", "readers", "votes", "agreement", "report", "retrieval", "ordered", "pools", "evaluation", "feedback", "texts")
+MODULES = ("multivalue", "readers", "votes", "agreement", "report", "retrieval", "ordered", "pools", "evaluation", "feedback", "texts", "checks")
 
 
 def core() -> tuple[dict, dict]:

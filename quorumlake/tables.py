@@ -20,17 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a local one only where none is set (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    """The checkpoint folder the cluster names. Only a session in one process (tests) may do without: it gets a folder of its own."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quorumlake-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get()
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quorumlake-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return named or held.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
