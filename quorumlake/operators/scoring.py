@@ -56,15 +56,37 @@ def correct(pred: Column, answer: Column, task: Column, scorers: dict[str, Score
     return out.otherwise(by_label(pred, answer)) if out is not None else by_label(pred, answer)
 
 
+def prepared(c: Column, task: Column) -> Column:
+    """What an answer says, in the form its task compares: a struct of text, number, entities and fields, of which one is set."""
+    kind = lambda f: task.isin(*[t for t, g in SCORERS.items() if g is f])
+    block = L.json_block(L.last_part(c))
+    parts = [(L.guidance if k == "话术分析" else L.without_number)(F.coalesce(L.json_field(block, k), F.lit(L.OTHER))) for k in ("一级品类", "二级品类", "话术分析")]
+    other = ~(kind(by_score) | kind(by_entities) | kind(by_fields))
+    return F.struct(F.when(other, L.tidy(c)).alias("text"), F.when(kind(by_score), L.score_metric(c)).alias("number"), F.when(kind(by_entities), L.entities(c)).alias("entities"), F.when(kind(by_fields) & c.isNotNull(), F.array(*parts)).alias("fields"))
+
+
+def same(pred: Column, answer: Column, empty: Column) -> Column:
+    """Whether two prepared() answers of a task agree; empty: whether the predicted text is."""
+    text = ~empty & ((pred.text == answer.text) | answer.text.contains(pred.text) | pred.text.contains(answer.text))
+    return F.coalesce(text, pred.number == answer.number, F.when(pred.entities.isNotNull() & answer.entities.isNotNull(), L.entities_match(pred.entities, answer.entities)), pred.fields == answer.fields, F.lit(False))
+
+
 def against_all(df: DataFrame, pred: str = "label", annotations: str = "all_annotations", detail: str = "vote_detail", task: str = "task", scorers: dict[str, Scorer] | None = None) -> DataFrame:
-    """df with match_count, hit_rate, is_correct_hit1, is_correct_hit2 and is_correct_majority (any of the top answers)."""
-    ok = lambda a: correct(F.col(pred), a, F.col(task), scorers)
+    """df with match_count, hit_rate, is_correct_hit1, is_correct_hit2 and is_correct_majority (any of the top answers).
+
+    Prediction and answers are each read once, in columns of their own, and then compared. Scorers of one's own (task to a
+    function of prediction and answer) are called for every pair instead.
+    """
     n = F.size(annotations)
-    matched = F.size(F.filter(annotations, lambda a: a.isNotNull() & ok(a)))
     top = F.get(detail, F.lit(0)).n_votes
-    best = F.exists(F.filter(detail, lambda d: d.n_votes == top), lambda d: d.answer.isNotNull() & ok(d.answer))
-    df = df.withColumn("match_count", matched)
-    return df.withColumns({"hit_rate": F.when(n > 0, F.col("match_count") / n).otherwise(0.0), "is_correct_hit1": F.col("match_count") >= 1, "is_correct_hit2": F.col("match_count") >= 2, "is_correct_majority": F.coalesce(best, F.lit(False))})
+    leading = F.transform(F.filter(detail, lambda d: d.n_votes == top), lambda d: d.answer)
+    if scorers is None:
+        df = df.withColumns({"_p": prepared(F.col(pred), F.col(task)), "_a": F.transform(F.filter(annotations, lambda a: a.isNotNull()), lambda a: prepared(a, F.col(task))), "_t": F.transform(F.filter(leading, lambda a: a.isNotNull()), lambda a: prepared(a, F.col(task))), "_e": F.coalesce(F.col(pred) == "", F.lit(True))})
+        df = df.withColumns({"match_count": F.size(F.filter("_a", lambda a: same(F.col("_p"), a, F.col("_e")))), "is_correct_majority": F.exists("_t", lambda a: same(F.col("_p"), a, F.col("_e")))}).drop("_p", "_a", "_t", "_e")
+    else:
+        ok = lambda a: correct(F.col(pred), a, F.col(task), scorers)
+        df = df.withColumns({"match_count": F.size(F.filter(annotations, lambda a: a.isNotNull() & ok(a))), "is_correct_majority": F.exists(leading, lambda a: a.isNotNull() & ok(a))})
+    return df.withColumns({"hit_rate": F.when(n > 0, F.col("match_count") / n).otherwise(0.0), "is_correct_hit1": F.col("match_count") >= 1, "is_correct_hit2": F.col("match_count") >= 2, "is_correct_majority": F.coalesce("is_correct_majority", F.lit(False))})
 
 
 def stratified(scored: DataFrame, by: list[str], level: str = "agreement_level") -> DataFrame:

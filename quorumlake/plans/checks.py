@@ -47,19 +47,26 @@ first AS (SELECT sample_id, task, run_no, raw FROM o WHERE pos = 1)
 SELECT sample_id, run_no, task, winning_label, winning_count, total_votes, margin, empty_results_count, num_clusters, round(winning_count / total_votes, 6) AS confidence, winning_count > 0 AND winning_count = total_votes AS is_unanimous, num_clusters = 3 AND winning_count = 1 AS is_three_way_tie,
  CASE WHEN winning_count > 0 THEN answer ELSE raw END AS answer FROM v JOIN first USING (sample_id, task, run_no)"""
 
-ACCURACY = f"""WITH {RESULTS}, once AS (SELECT * FROM samples WHERE sample_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at DESC NULLS LAST) = 1),
+_PAIRS = f"""{RESULTS}, once AS (SELECT * FROM samples WHERE sample_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at DESC NULLS LAST) = 1),
 gt AS (SELECT sample_id, [annotation_1, annotation_2, annotation_3, annotation_4, annotation_5] AS a FROM once),
 kept AS (SELECT * FROM gt WHERE len(list_filter(a, lambda x: x IS NULL OR x IN ('', '[]', '{{}}'))) <= 2),
-an AS (SELECT sample_id, i, a[i] AS raw FROM kept, range(1, 6) t(i)),
+an0 AS (SELECT sample_id, i, a[i] AS raw, coalesce(trim(a[i], {BLANK_SQL}), 'None') AS norm FROM kept, range(1, 6) t(i)),
+vo AS (SELECT sample_id, norm, count(*) AS c, min(i) AS p FROM an0 GROUP BY ALL),
+lv AS (SELECT sample_id, max(c) AS top, CASE WHEN max(c) < 3 THEN 'ambiguous' WHEN count(*) = 2 AND min(c) >= 2 THEN 'split' ELSE 'consensus' END AS agreement_level FROM vo GROUP BY sample_id),
+an AS (SELECT an0.*, vo.c = lv.top AND vo.p = an0.i AS leads FROM an0 JOIN vo USING (sample_id, norm) JOIN lv USING (sample_id)),
 rr AS (SELECT result_id, sample_id, task, model_name, annotation FROM res WHERE annotation IS NOT NULL AND annotation <> ''),
 {reading("SELECT annotation AS x FROM rr UNION ALL SELECT raw FROM an")},
 fx AS (SELECT *, {_bare('k1')} AS f1, {_bare('k2')} AS f2, {_orient('k3')} AS f3, {_metric('label')} AS lm, {_tidy('label')} AS lt, {_metric('x')} AS xm, {_tidy('x')} AS xt FROM rx),
-pr AS (SELECT rr.result_id, rr.task, rr.model_name, an.raw, p.label, p.ents AS pe, q.ents AS qe, p.lm, p.lt, q.xm, q.xt, p.f1 = q.f1 AND p.f2 = q.f2 AND p.f3 = q.f3 AS fields FROM rr JOIN an USING (sample_id) JOIN fx p ON p.x = rr.annotation LEFT JOIN fx q ON q.x = an.raw),
-ok AS (SELECT result_id, task, model_name, CASE WHEN raw IS NULL THEN false WHEN task = 'entity_extraction' THEN coalesce(len(pe) = len(qe) AND len(list_intersect(pe, qe)) = len(pe), false) WHEN task = 'image_classification' THEN coalesce(fields, raw = '' AND false)
- WHEN task IN ('image_text_relevance', 'image_attribution_recognition') THEN coalesce(lm = xm, false) ELSE label <> '' AND (lt = coalesce(xt, '') OR contains(coalesce(xt, ''), lt) OR contains(lt, coalesce(xt, ''))) END AS ok FROM pr),
-s AS (SELECT result_id, task, model_name, sum(ok::INT) AS m FROM ok GROUP BY ALL)
-SELECT task, model_name, count(*) AS n, count(*) FILTER (m >= 2) AS n_right FROM s GROUP BY ALL"""
+pr AS (SELECT rr.result_id, rr.sample_id, rr.task, rr.model_name, an.raw, an.leads, p.label, p.ents AS pe, q.ents AS qe, p.lm, p.lt, q.xm, coalesce(q.xt, '') AS xt, p.f1 = q.f1 AND p.f2 = q.f2 AND p.f3 = q.f3 AS fields FROM rr JOIN an USING (sample_id) JOIN fx p ON p.x = rr.annotation LEFT JOIN fx q ON q.x = an.raw),
+ok AS (SELECT result_id, sample_id, task, model_name, leads, CASE WHEN raw IS NULL THEN false WHEN task = 'entity_extraction' THEN coalesce(len(pe) = len(qe) AND len(list_intersect(pe, qe)) = len(pe), false) WHEN task = 'image_classification' THEN coalesce(fields, false)
+ WHEN task IN ('image_text_relevance', 'image_attribution_recognition') THEN coalesce(lm = xm, false) ELSE label <> '' AND (lt = xt OR contains(xt, lt) OR contains(lt, xt)) END AS ok FROM pr),
+s AS (SELECT result_id, sample_id, task, model_name, sum(ok::INT)::BIGINT AS m, bool_or(ok AND leads) AS best FROM ok GROUP BY ALL)"""
+ACCURACY = f"WITH {_PAIRS} SELECT task, model_name, count(*) AS n, count(*) FILTER (m >= 2) AS n_right FROM s GROUP BY ALL"
+METRICS = f"WITH {_PAIRS} SELECT result_id, m AS match_count, round(m / 5.0::DOUBLE, 6) AS hit_rate, m >= 1 AS is_correct_hit1, m >= 2 AS is_correct_hit2, best AS is_correct_majority, agreement_level FROM s JOIN lv USING (sample_id)"
+STRATIFIED = f"""WITH {_PAIRS}, sc AS (SELECT task, agreement_level, (m >= 2) AS h2, (m >= 1) AS h1, best FROM s JOIN lv USING (sample_id))
+SELECT task, coalesce(agreement_level, 'overall') AS agreement_level, count(*) AS total, count(*) FILTER (h2) AS hit2, count(*) FILTER (h1) AS hit1, count(*) FILTER (best) AS majority,
+round(avg(h2::INT::DOUBLE), 6) AS hit2_rate, round(avg(h1::INT::DOUBLE), 6) AS hit1_rate, round(avg(best::INT::DOUBLE), 6) AS majority_rate FROM sc GROUP BY GROUPING SETS ((task, agreement_level), (task))"""
 
 QUERIES: dict = {}
-SQL = {"agg02_agent_vote": VOTE, "evl01_accuracy": ACCURACY}
+SQL = {"agg02_agent_vote": VOTE, "evl01_accuracy": ACCURACY, "agg06_multi_metrics": METRICS, "agg07_stratified": STRATIFIED}
 

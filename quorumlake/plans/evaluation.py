@@ -10,7 +10,7 @@ from ..operators import scoring as S
 from ..operators import voting as V
 from ..operators.provider import token_report
 from ..tables import table
-from .base import BLANK_SQL, RESULTS, TASKS, VOTES, labelled, results_once, samples_once
+from .base import BLANK_SQL, RESULTS, results_once, samples_once
 
 def _block(t: str) -> str:
     fence = lambda p: f"(CASE WHEN json_valid(regexp_extract_all({t}, '{p}', 1, 's')[-1]) THEN regexp_extract_all({t}, '{p}', 1, 's')[-1] END)"
@@ -29,7 +29,7 @@ def _kv(t: str, key: str) -> str:
 
 _AFTER = "CASE WHEN contains(annotation, '```json') THEN string_split(annotation, '```json')[-1] ELSE annotation END"
 READ = f"""{RESULTS},
-pt AS (SELECT *, {_AFTER} AS after FROM res WHERE task IN ({", ".join(f"'{t}'" for t in TASKS)}) AND annotation IS NOT NULL AND annotation <> ''),
+pt AS (SELECT *, {_AFTER} AS after FROM res WHERE annotation IS NOT NULL AND annotation <> ''),
 tx AS (SELECT *, CASE WHEN contains(after, '```') THEN coalesce(list_filter(string_split(after, '```'), lambda p: contains(p, '{{') OR contains(p, '"'))[1], after) ELSE after END AS t FROM pt),
 bl AS (SELECT *, {_block('t')} AS block FROM tx),
 rd AS (SELECT result_id, sample_id, task, run_no, agent_name, model_name, is_correct,
@@ -37,7 +37,7 @@ rd AS (SELECT result_id, sample_id, task, run_no, agent_name, model_name, is_cor
 
 
 def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = results_once(spark, sf_dir).where(F.col("task").isin(*TASKS) & F.col("annotation").isNotNull() & (F.col("annotation") != ""))
+    r = results_once(spark, sf_dir).where(F.col("annotation").isNotNull() & (F.col("annotation") != ""))
     return L.with_label(r)
 
 
@@ -113,22 +113,9 @@ SELECT raw, coalesce(nullif(trim(regexp_extract(trim(raw, {BLANK_SQL}), '^\\d+\\
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    info = V.vote_info(labelled(spark, sf_dir)).select("sample_id", "all_annotations", "vote_detail", "agreement_level")
-    return S.against_all(_read(spark, sf_dir).join(info, "sample_id"), scorers={t: S.SCORERS[t] for t in TASKS})
-
-
-_OK = "CASE WHEN task IN ('image_text_relevance', 'image_attribution_recognition') THEN coalesce({s1} = {s2}, false) ELSE label <> '' AND ({p} = {a} OR contains({a}, {p}) OR contains({p}, {a})) END"
-
-
-def _ok(a: str) -> str:
-    return _OK.format(s1=_metric("label"), s2=_metric(a), p=_tidy("label"), a=_tidy(a))
-
-
-SCORED = f"""{VOTES}, {READ},
-lv AS (SELECT sample_id, agreement_level FROM info),
-m AS (SELECT result_id, sum((raw IS NOT NULL AND coalesce({_ok('raw')}, false))::INT)::BIGINT AS match_count FROM (SELECT rd.*, ann.raw FROM rd JOIN ann USING (sample_id)) GROUP BY result_id),
-b AS (SELECT result_id, bool_or(raw IS NOT NULL AND coalesce({_ok('raw')}, false)) AS is_correct_majority FROM (SELECT rd.*, rk.raw FROM rd JOIN rk USING (sample_id) JOIN info USING (sample_id) WHERE rk.c = info.top_votes) GROUP BY result_id),
-sc AS (SELECT rd.*, agreement_level, match_count, match_count / 5.0::DOUBLE AS hit_rate, match_count >= 1 AS is_correct_hit1, match_count >= 2 AS is_correct_hit2, is_correct_majority FROM rd JOIN lv USING (sample_id) JOIN m USING (result_id) JOIN b USING (result_id))"""
+    info = V.vote_info(V.gathered(samples_once(spark, sf_dir))).select("sample_id", "all_annotations", "vote_detail", "agreement_level")
+    told = _read(spark, sf_dir).withColumn("label", F.when(F.col("task").isin("entity_extraction", "image_classification"), F.col("annotation")).otherwise(F.col("label")))
+    return S.against_all(told.join(info, "sample_id"))
 
 
 def agg06_multi_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,18 +123,11 @@ def agg06_multi_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("result_id", F.col("match_count").cast("long").alias("match_count"), F.round("hit_rate", 6).alias("hit_rate"), "is_correct_hit1", "is_correct_hit2", "is_correct_majority", "agreement_level")
 
 
-AGG06 = f"WITH {SCORED} SELECT result_id, match_count, round(hit_rate, 6) AS hit_rate, is_correct_hit1, is_correct_hit2, is_correct_majority, agreement_level FROM sc"
-
-
 def agg07_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy per task and agreement level, and overall."""
     return S.stratified(_scored(spark, sf_dir), ["task"])
 
 
-AGG07 = f"""WITH {SCORED} SELECT task, coalesce(agreement_level, 'overall') AS agreement_level, count(*) AS total, count(*) FILTER (is_correct_hit2) AS hit2, count(*) FILTER (is_correct_hit1) AS hit1, count(*) FILTER (is_correct_majority) AS majority,
-round(avg(is_correct_hit2::INT::DOUBLE), 6) AS hit2_rate, round(avg(is_correct_hit1::INT::DOUBLE), 6) AS hit1_rate, round(avg(is_correct_majority::INT::DOUBLE), 6) AS majority_rate FROM sc GROUP BY GROUPING SETS ((task, agreement_level), (task))"""
-
-
 def agg08_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy over runs per task: mean and population standard deviation."""
     runs = results_once(spark, sf_dir).where("is_correct is not null").groupBy("task", "run_no").agg(F.avg(F.col("is_correct").cast("double")).alias("acc"))
@@ -189,12 +169,8 @@ SELECT sample_id, CASE WHEN coalesce(image_url, '') <> '' THEN query || '||' ||
 
 def evl01_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven tasks: answers that are right for two annotators or more, per task and model."""
-    r = results_once(spark, sf_dir).where("annotation is not null and annotation <> ''")
-    single = F.col("task").isin(*TASKS)
-    r = L.with_label(r).withColumn("label", F.when(single, F.col("label")).otherwise(F.col("annotation")))
-    info = V.vote_info(V.gathered(samples_once(spark, sf_dir))).select("sample_id", "all_annotations", "vote_detail")
-    return S.against_all(r.join(info, "sample_id")).groupBy("task", "model_name").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_correct_hit2").alias("n_right"))
+    return _scored(spark, sf_dir).groupBy("task", "model_name").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_correct_hit2").alias("n_right"))
 
 
 QUERIES = {f.__name__: f for f in (scl15_labels, scl01_json, scl04_scores, scl08_guidance, scl07_prefixes, agg06_multi_metrics, agg07_stratified, agg08_runs, agg22_tokens, agg28_error_split, prj07_sample_key, evl01_accuracy)}
-SQL = {"scl15_labels": SCL15, "scl01_json": SCL01, "scl04_scores": SCL04, "scl08_guidance": SCL08, "scl07_prefixes": SCL07, "agg06_multi_metrics": AGG06, "agg07_stratified": AGG07, "agg08_runs": AGG08, "agg22_tokens": AGG22, "agg28_error_split": AGG28, "prj07_sample_key": PRJ07}
+SQL = {"scl15_labels": SCL15, "scl01_json": SCL01, "scl04_scores": SCL04, "scl08_guidance": SCL08, "scl07_prefixes": SCL07, "agg08_runs": AGG08, "agg22_tokens": AGG22, "agg28_error_split": AGG28, "prj07_sample_key": PRJ07}
