@@ -257,7 +257,26 @@ def p2_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chance-corrected agreement per task."""
-    return agreement(_cast(spark, sf_dir)[0])
-
-
+    out = agreement(_cast(spark, sf_dir)[0])
+    return out.select("task", "n_items", "n_votes", *[F.round(c, 6).alias(c) for c in ("observed", "fleiss_kappa", "krippendorff_alpha")])
+
+
+_PLAIN = """regexp_replace(regexp_replace(regexp_replace(lower(CASE WHEN contains(h, '{') THEN coalesce(CASE WHEN json_valid(h) THEN coalesce(json_extract_string(h, '$.label'), json_extract_string(h, '$."标签"')) END, h) ELSE h END), '^[\\s\\p{P}\\p{Z}]+|[\\s\\p{P}\\p{Z};]+$', '', 'g'), '^\\d+\\s*[-_.、]\\s*(\\D)', '\\1'), '^(\\d+)\\.0+$', '\\1')"""
+_WIDE = "'" + _FULL.replace("'", "''") + "'"
+_NARROW = "'" + _HALF.replace("'", "''") + "'"
+P2_AGREEMENT = f"""WITH once AS (SELECT * FROM samples WHERE sample_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at DESC NULLS LAST) = 1),
+nm AS (SELECT task, rank_no, label_code, lower(trim(unnest([label_code, name_en, name_zh]))) AS k FROM label_set WHERE task <> 'image_classification'),
+lk AS (SELECT task, k, first(label_code ORDER BY rank_no, label_code) AS code FROM nm WHERE k IS NOT NULL AND k <> '' GROUP BY ALL),
+an AS (SELECT sample_id, task, unnest([annotation_1, annotation_2, annotation_3, annotation_4, annotation_5]) AS raw FROM once WHERE task IN (SELECT task FROM lk)),
+pl AS (SELECT sample_id, task, raw, translate(raw, {_WIDE}, {_NARROW}) AS h FROM an WHERE raw IS NOT NULL),
+vt AS (SELECT sample_id, p.task, coalesce(a.code, b.code) AS label FROM (SELECT *, lower(raw) AS k1, {_PLAIN} AS k2 FROM pl) p LEFT JOIN lk a ON a.task = p.task AND a.k = p.k1 LEFT JOIN lk b ON b.task = p.task AND b.k = p.k2),
+us AS (SELECT *, count(*) OVER (PARTITION BY sample_id) AS votes FROM vt WHERE label IS NOT NULL),
+ct AS (SELECT sample_id, task, label, count(*) AS c FROM us WHERE votes >= 3 GROUP BY ALL),
+it AS (SELECT sample_id, task, sum(c) AS m, sum(c * (c - 1)) AS same FROM ct GROUP BY ALL HAVING sum(c) >= 2),
+pi AS (SELECT task, count(*) AS n_items, sum(m)::BIGINT AS n_votes, avg(same::DOUBLE / (m * (m - 1))) AS p_item, sum(same::DOUBLE / (m - 1)) AS same_w FROM it GROUP BY task),
+sh AS (SELECT task, sum(c)::DOUBLE AS n, sum(c * c)::DOUBLE AS cc, sum(c * (c - 1))::DOUBLE AS c1 FROM (SELECT task, label, sum(c) AS c FROM ct GROUP BY ALL) GROUP BY task)
+SELECT task, n_items, n_votes, round(p_item, 6) AS observed, round(CASE WHEN cc / n / n < 1 THEN (p_item - cc / n / n) / (1 - cc / n / n) END, 6) AS fleiss_kappa,
+ round(CASE WHEN 1 - c1 / (n * (n - 1)) > 0 THEN 1 - (1 - same_w / n_votes) / (1 - c1 / (n * (n - 1))) END, 6) AS krippendorff_alpha FROM pi JOIN sh USING (task)"""
+
+SQL = {"p2_agreement": P2_AGREEMENT}
 QUERIES = {"p2_found": p2_found, "p2_raters": p2_raters, "p2_agreement": p2_agreement}
