@@ -78,3 +78,24 @@ def test_cosine_and_sampling(spark):
     a = [r.pool_id for r in S.sampled(c, "query_id", 5, 1.0, 3).orderBy("rank").collect()]
     b = [r.pool_id for r in S.sampled(c.repartition(3), "query_id", 5, 1.0, 3).orderBy("rank").collect()]
     assert a == b and len(set(a)) == 5 and a == sorted(a, reverse=True)
+
+
+def test_scores_and_rates_do_not_depend_on_ranges(spark):
+    """One sample holds a third of all events, and the order is spread unevenly."""
+    import random
+
+    random.seed(11)
+    at = sorted(random.sample(range(10_000), 300)) + [10**12 + i for i in range(60)]
+    rows = [(s, "hot" if i % 3 == 0 else f"k{i % 7}", random.randint(0, 1)) for i, s in enumerate(at)]
+    df = spark.createDataFrame(rows, "seq long, sample_key string, helpful int")
+    scores = [{r.sample_key: (round(r.score, 9), r.usage_count) for r in O.quality_scores(df, rows=n).collect()} for n in (10**6, 17)]
+    assert scores[0] == scores[1]
+    score = {}
+    good = 0
+    for n, (_, k, h) in enumerate(rows):
+        g = good / n if n else 0.5
+        score[k] = min(2.0, max(0.0, score.get(k, 1.0) + (0.1 * (1 - g) if h else -0.1 * g)))
+        good += h
+    assert {k: round(v, 9) for k, v in score.items()} == {k: v[0] for k, v in scores[1].items()}
+    rates = [{r.seq: (round(r.success_rate, 9), r.total_injections) for r in O.running_rate(df, "sample_key", "helpful", rows=n).collect()} for n in (10**6, 17)]
+    assert rates[0] == rates[1] and rates[0][at[0]] == (float(rows[0][2]), 1)
