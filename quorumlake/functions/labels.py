@@ -6,6 +6,7 @@ key-value patterns, the raw text. Everything stays in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,11 @@ OTHER = "其他"
 GUIDANCE = r"([^，,、\s\[\]'\"]*导向)"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f names it (within higher-order functions nothing else sees to that)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """c without white space of any width around it."""
     return F.btrim(c, F.lit(BLANKS))
@@ -49,10 +55,10 @@ def json_block(text: Column) -> Column:
     """The JSON object a text holds: the whole of it, the last fenced block, or the last flat object that parses."""
 
     def last_fenced(pattern: str) -> Column:
-        return _valid(F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1)))
+        return F.when(text.contains("```"), bound(F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1)), _valid))
 
     flat = F.try_element_at(F.filter(F.regexp_extract_all(text, F.lit(r"(\{[^{}]*\})"), F.lit(1)), lambda j: F.try_parse_json(j).isNotNull()), F.lit(-1))
-    return F.coalesce(_valid(text), last_fenced(r"(?s)```json\s*(\{.*?\})\s*```"), last_fenced(r"(?s)```\s*(\{.*?\})\s*```"), flat)
+    return F.when(text.contains("{"), F.coalesce(_valid(text), last_fenced(r"(?s)```json\s*(\{.*?\})\s*```"), last_fenced(r"(?s)```\s*(\{.*?\})\s*```"), flat))
 
 
 def json_field(block: Column, key: str) -> Column:
@@ -180,10 +186,12 @@ ENTITY = "array<struct<text:string,category:string>>"
 
 
 def entities(annotation: Column) -> Column:
-    """The (text, category) pairs of an annotation or answer, distinct, trimmed, in order; NULL where none can be read."""
-    text = last_part(annotation)
-    block = json_block(text)
-    listed = F.from_json(F.coalesce(F.get_json_object(block, "$.entities"), F.when(strip(text).startswith("["), text)), ENTITY)
+    """The (text, category) pairs of an annotation or answer, distinct, trimmed, in order; NULL where none can be read.
+
+    Only text with a bracket is looked at.
+    """
+    told = lambda text: F.coalesce(F.get_json_object(json_block(text), "$.entities"), F.when(strip(text).startswith("["), text))
+    listed = F.from_json(F.when(annotation.contains("[") | annotation.contains("{"), bound(last_part(annotation), told)), ENTITY)
     clean = F.transform(listed, lambda e: F.struct(strip(F.coalesce(e.text, F.lit(""))).alias("text"), strip(F.coalesce(e.category, F.lit(""))).alias("category")))
     return F.array_distinct(F.filter(clean, lambda e: (e.text != "") & (e.category != "")))
 

@@ -59,10 +59,10 @@ def correct(pred: Column, answer: Column, task: Column, scorers: dict[str, Score
 def prepared(c: Column, task: Column) -> Column:
     """What an answer says, in the form its task compares: a struct of text, number, entities and fields, of which one is set."""
     kind = lambda f: task.isin(*[t for t, g in SCORERS.items() if g is f])
-    block = L.json_block(L.last_part(c))
-    parts = [(L.guidance if k == "话术分析" else L.without_number)(F.coalesce(L.json_field(block, k), F.lit(L.OTHER))) for k in ("一级品类", "二级品类", "话术分析")]
+    read = lambda block: F.array(*[L.bound(F.coalesce(L.json_field(block, k), F.lit(L.OTHER)), L.guidance if k == "话术分析" else L.without_number) for k in ("一级品类", "二级品类", "话术分析")])
+    fields = L.bound(F.when(c.contains("{"), L.bound(L.last_part(c), L.json_block)), read)
     other = ~(kind(by_score) | kind(by_entities) | kind(by_fields))
-    return F.struct(F.when(other, L.tidy(c)).alias("text"), F.when(kind(by_score), L.score_metric(c)).alias("number"), F.when(kind(by_entities), L.entities(c)).alias("entities"), F.when(kind(by_fields) & c.isNotNull(), F.array(*parts)).alias("fields"))
+    return F.struct(F.when(other, L.tidy(c)).alias("text"), F.when(kind(by_score), L.score_metric(c)).alias("number"), F.when(kind(by_entities), L.entities(c)).alias("entities"), F.when(kind(by_fields) & c.isNotNull(), fields).alias("fields"))
 
 
 def same(pred: Column, answer: Column, empty: Column) -> Column:
