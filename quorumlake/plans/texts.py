@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -22,8 +22,14 @@ from .readers import SQL as _S
 from .readers import cases
 
 _known = set(_Q)
-DIMS = F.array(F.struct(F.lit("tone").alias("name"), F.lit("tone").alias("meta_rule"), F.lit("be kind").alias("rule_intent"), F.lit("").alias("applicable_boundary"), F.lit("words").alias("decision_boundary"), F.lit(3).cast("long").alias("evidence_count")), F.struct(F.lit("scope").alias("name"), F.lit("all of it").alias("meta_rule"), F.lit("").alias("rule_intent"), F.lit("long texts").alias("applicable_boundary"), F.lit("").alias("decision_boundary"), F.lit(None).cast("long").alias("evidence_count")))
-some = lambda c: F.when(c == "yes", DIMS).otherwise(F.array().cast(P.DIMENSION))
+
+
+def some(c: Column) -> Column:
+    """Two dimensions where c says yes, else none."""
+    dims = F.array(F.struct(F.lit("tone").alias("name"), F.lit("tone").alias("meta_rule"), F.lit("be kind").alias("rule_intent"), F.lit("").alias("applicable_boundary"), F.lit("words").alias("decision_boundary"), F.lit(3).cast("long").alias("evidence_count")), F.struct(F.lit("scope").alias("name"), F.lit("all of it").alias("meta_rule"), F.lit("").alias("rule_intent"), F.lit("long texts").alias("applicable_boundary"), F.lit("").alias("decision_boundary"), F.lit(None).cast("long").alias("evidence_count")))
+    return F.when(c == "yes", dims).otherwise(F.array().cast(P.DIMENSION))
+
+
 
 cases("txt01_prompt", "The prompt of one sample.", "rules query task", "prompt", lambda r, q, t: P.annotation_prompt(r, q, t), [("R", "hello", "billing", 'R\n\nGive the label at once.\n\nText: hello\n\nAnswer with JSON: {"label": "..."}'), ("", "hello", "verification", 'Give the label at once.\n\nText: hello\n\nAnswer with JSON: {"choice": <number>}')])
 cases("txt03_context", "Contrasting examples under their headings.", "right wrong", "context", P.contrastive_context, [("a", "b", "Labelled rightly:\na\n\nLabelled wrongly:\nb\n\nFind what sets the two apart before you decide."), (None, "b", "Labelled wrongly:\nb\n\nFind what sets the two apart before you decide."), ("", None, "")])

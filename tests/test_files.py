@@ -114,3 +114,12 @@ def test_streamed_votes(spark, tmp_path):
     q.stop()
     got = {(r.label, r.n) for r in spark.table("votes").collect()}
     assert got == {("a", 1), ("b", 1)} == {(r.label, r.n) for r in vote_counts(rows).collect()}
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(s) <= set(q), set(s) - set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)
