@@ -219,9 +219,9 @@ def start(vectors: DataFrame, tables: int = TABLES, block: int = BLOCK, keep: in
     return rows.repartitionById(parts * tables, F.col("part")).sortWithinPartitions("key").select("node", "small").mapInArrow(compare, GRAPH)
 
 
-def merge(lists: DataFrame, old: DataFrame | None = None, keep: int = KEEP, k: int = K) -> DataFrame:
+def merge(lists: DataFrame, old: DataFrame | None = None, keep: int = KEEP, k: int = K, tell: bool = False) -> DataFrame:
     """The best `keep` different candidates of each node over all its lists, and those of old. fresh: how many of the first k
-    are not in its old list.
+    are not in its old list. With tell, open: those of all kept that are not.
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +244,16 @@ def merge(lists: DataFrame, old: DataFrame | None = None, keep: int = KEEP, k: i
             top = rank < keep
             n = np.add.reduceat(top.astype(np.int64), first)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.ListArray.from_arrays(offsets, pa.array(near[top])), pa.ListArray.from_arrays(offsets, pa.array(sim[top])), pa.array(new)], names=["node", "near", "sim", "fresh"])
+            out = [pa.array(node[first]), pa.ListArray.from_arrays(offsets, pa.array(near[top])), pa.ListArray.from_arrays(offsets, pa.array(sim[top])), pa.array(new)]
+            if tell:
+                seen = np.add.reduceat((top & ~known).astype(np.int64), first)
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(seen)]).astype(np.int32)), pa.array(near[top & ~known])))
+            yield pa.RecordBatch.from_arrays(out, names=["node", "near", "sim", "fresh", "open"][: len(out)])
 
     all_ = lists.select("node", "near", "sim", F.lit(False).alias("old"))
     if old is not None:
         all_ = all_.unionByName(old.select("node", "near", "sim", F.lit(True).alias("old")))
-    return all_.repartition("node").sortWithinPartitions("node").mapInArrow(best, LISTS)
+    return all_.repartition("node").sortWithinPartitions("node").mapInArrow(best, LISTS + (", open array<long>" if tell else ""))
 
 
 def descend(graph: DataFrame, vectors: DataFrame, sent: int = SENT, block: int = MEETING, keep: int = K + 1) -> DataFrame:
@@ -323,7 +327,8 @@ def most_similar(store: DataFrame, k: int = K) -> DataFrame:
     return out.select("vec_id", "other")
 
 
-def _most_similar(store: DataFrame, k: int) -> DataFrame:
+def _most_similar(store: DataFrame, k: int, find: Callable[[DataFrame], DataFrame] | None = None, scores: bool = False) -> DataFrame:
+    """find gives the lists (node, near, sim) of (node, small), neighbour_graph() if none. With scores, sim comes out as well."""
 
     def stored(asked: DataFrame) -> DataFrame:
         """(vec_id, vec) as stored, of some (vec_id, mark); only their vectors leave the JVM."""
@@ -343,7 +348,7 @@ def _most_similar(store: DataFrame, k: int) -> DataFrame:
     others = same.where("vec_id != rep").select("vec_id")
     n = others.count()
     alone = rows.join(F.broadcast(others) if n <= BROADCAST else others, "vec_id", "left_anti") if n else rows
-    graph = neighbour_graph(alone.select(F.col("vec_id").alias("node"), "small"))
+    graph = (find or neighbour_graph)(alone.select(F.col("vec_id").alias("node"), "small"))
     # Lists that name no such set, nearly all, stay as they are; the others get its members.
     named = graph.select("node", F.explode(F.arrays_zip("near", "sim")).alias("e")).select("node", F.col("e.near").alias("other"), F.col("e.sim").cast("double").alias("sim"))
     through = named.join(sets, named.other == first.rep).select("node", F.explode("ids").alias("other"), "sim")
@@ -361,8 +366,11 @@ def _most_similar(store: DataFrame, k: int) -> DataFrame:
     kth = -F.get("c", F.lit(k - 1)).s
     near = lists.withColumn("off", slack(kth)).select("node", F.filter("c", lambda x: -x.s > kth + F.col("off")).alias("sure"), F.filter("c", lambda x: (-x.s >= kth - F.col("off")) & (-x.s <= kth + F.col("off"))).alias("open"), "c")
     clear = (F.size("c") <= k) | (F.size("sure") + F.size("open") <= k)
-    near = cut(near.select("node", F.when(clear, F.slice("c", 1, k).other).otherwise(F.col("sure.other")).alias("sure"), F.when(~clear, F.col("open.other")).alias("open")))
-    sure = near.select("node", F.explode("sure").alias("other")).select(F.col("node").alias("vec_id"), "other")
+    first_k = F.when(clear, F.slice("c", 1, k)).otherwise(F.col("sure"))
+    near = cut(near.select("node", (first_k if scores else first_k.other).alias("sure"), F.when(~clear, F.col("open.other")).alias("open")))
+    sure = near.select(F.col("node").alias("vec_id"), F.explode("sure").alias("other"))
+    if scores:
+        sure = sure.select("vec_id", "other.other", (-F.col("other.s")).cast("float").alias("sim"))
     asked = near.where("open is not null").select("node", (F.lit(k) - F.size("sure")).alias("left"), F.explode("open").alias("other"))
     wanted = cut(rows.select("vec_id", "mark").join(asked.select(F.explode(F.array("node", "other")).alias("vec_id")).distinct(), "vec_id", "left_semi"))
     vec = stored(wanted)
@@ -375,14 +383,15 @@ def _most_similar(store: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("left"), b.column("other"), pa.array(sim)], names=["node", "left", "other", "sim"])
 
     scored = pairs.mapInArrow(exact, "node long, left int, other long, sim double")
-    won = scored.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "other"))).where("rank <= left").select(F.col("node").alias("vec_id"), "other")
-    return cut(sure.unionByName(won))
+    won = scored.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "other"))).where("rank <= left").select(F.col("node").alias("vec_id"), "other", F.col("sim").cast("float").alias("sim"))
+    return cut(sure.unionByName(won.select(*sure.columns)))
 
 
 HOPS = 4  # steps of a graph search
 BEAM = 12  # best nodes a search keeps
 ENTRIES = 24  # nodes of a bucket where a search may begin
 PER_BUCKET = 32  # nodes of a bucket, about
+LOAD = 5  # vectors on their way at once in a step of searches from every node, per vector stored
 
 
 def entries(vectors: DataFrame, tables: int = TABLES) -> tuple[DataFrame, int]:
@@ -442,6 +451,84 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int = K,
     return held.withColumn("_r", best).where(F.col("_r") <= k).drop("_r")
 
 
+def explore(graph: DataFrame, vectors: DataFrame, hops: int = HOPS) -> DataFrame:
+    """(node, near, sim): the KEEP nearest nodes found for every node by greedy search of the graph from its own place in it.
+
+    Every step goes to the nodes held where the search has not been yet, scores those they name, and keeps the best; a search
+    ends when it has been at all it holds, or after `hops` steps.
+    """
+    n = vectors.count()
+    held = graph.select("node", "near", "sim", F.col("near").alias("open"))
+    for _ in range(hops):
+        asking = held.where(F.size("open") > 0)
+        places = cut(asking.select(F.explode("open").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n")))
+        sums = places.agg(F.sum("n").alias("visits"), F.count(F.lit(1)).alias("places")).first()
+        if not sums.places:
+            break
+        turns = -(-(sums.visits + KEEP * sums.places) // (LOAD * n))
+        found = [_visit(asking, graph, vectors, places, turns, t) for t in range(turns)]
+        if turns > 1:  # of each turn only what is new to a list stays until the step ends
+            found = [cut(_news(merge(f, held, tell=True))) for f in found]
+        lists = found[0]
+        for f in found[1:]:
+            lists = lists.unionByName(f)
+        held = cut(merge(lists, held, tell=True))
+    return held.select("node", "near", "sim")
+
+
+def _news(merged: DataFrame) -> DataFrame:
+    new = F.filter(F.arrays_zip("near", "sim"), lambda x: F.array_contains("open", x.near))
+    return merged.where(F.size("open") > 0).select("node", new.alias("c")).select("node", "c.near", "c.sim")
+
+
+def _visit(asking: DataFrame, graph: DataFrame, vectors: DataFrame, places: DataFrame, turns: int, turn: int) -> DataFrame:
+    """Candidate lists (node, near, sim) of a share of the visits: the vector of a search and those of the nodes that a node
+    names are sent there and compared. A node that very many (HUB) visit is spread over several tasks.
+    """
+
+    def mine(at: Column) -> Column:
+        return F.pmod(F.xxhash64(at, F.lit(1)), F.lit(turns)) == turn
+
+    places = places.where(mine(F.col("at"))).select("at", F.ceil(F.col("n") / HUB).cast("int").alias("slots"))
+    floor = F.coalesce(F.get("sim", F.lit(KEEP - 1)), F.lit(-2.0)).cast("float").alias("floor")
+    came = asking.select("node", floor, F.filter("open", mine).alias("open")).where(F.size("open") > 0).join(vectors, "node")
+    came = came.select(F.explode("open").alias("at"), "node", "floor", "small").join(F.broadcast(places.where("slots > 1")), "at", "left")
+    place = F.xxhash64("at", "slot").alias("place")
+    came = came.withColumn("slot", F.pmod(F.xxhash64("node"), F.coalesce("slots", F.lit(1))).cast("int")).select(place, F.lit(True).alias("asks"), "node", "floor", "small")
+    named = graph.select(F.col("node").alias("at"), "near").join(places, "at").select("at", "near", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    there = named.select(place, F.explode("near").alias("node")).join(vectors, "node").select("place", F.lit(False).alias("asks"), "node", F.lit(None).cast("float").alias("floor"), "small")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _runs(batches, "place", 8192):
+            asks = b.column("asks").to_numpy(zero_copy_only=False)
+            yield from _scored(b.column("place").to_numpy(), asks, b.column("node").to_numpy(), b.column("floor").to_numpy(zero_copy_only=False), _matrix(b.column("small")))
+
+    return came.unionByName(there).repartition("place").sortWithinPartitions("place", "asks").mapInArrow(meet, GRAPH)
+
+
+def _scored(place: np.ndarray, asks: np.ndarray, ids: np.ndarray, floor: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """At each place the rows that ask, which come last, compared with the others; candidates below a row's floor are left out."""
+    if not len(ids):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    there = np.add.reduceat((~asks).astype(np.int64), starts)
+    came = np.diff(np.append(starts, len(ids))) - there
+    wide = 2 ** np.ceil(np.log2(np.maximum(came, 1))).astype(int)
+    use = np.flatnonzero((there > 0) & (came > 0))
+    for w in np.unique(wide[use]):
+        of_width = use[wide[use] == w]
+        m = int(there[of_width].max())
+        for some in np.array_split(of_width, -(-len(of_width) * w * m // 2_000_000)):
+            q = np.minimum((starts + there)[some][:, None] + np.arange(w), len(ids) - 1)
+            c = np.minimum(starts[some][:, None] + np.arange(m), len(ids) - 1)
+            sim = np.matmul(x[q], x[c].transpose(0, 2, 1))
+            sim[np.broadcast_to((np.arange(m) >= there[some][:, None])[:, None, :], sim.shape)] = -2
+            sim[sim < floor[q][:, :, None]] = -2
+            sim[ids[q][:, :, None] == ids[c][:, None, :]] = -2
+            real = (np.arange(w) < came[some][:, None]) & (sim > -1.5).any(2)
+            yield _lists(ids[q][real], np.broadcast_to(ids[c][:, None, :], sim.shape)[real], sim[real])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id_1, vec_id_2), the smaller first, each pair once."""
     near = most_similar(table(spark, sf_dir, "query_index"))
@@ -449,14 +536,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest nodes by graph search for every id divisible by 50, against a graph without those."""
-    rows = usable(table(spark, sf_dir, "query_index")).select("vec_id", "at", "mark", "small")
-    rows = current(cut(rows)).select("vec_id", "small")
-    vectors = rows.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("node"), "small")
-    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "small")
+    """(query_id, node, sim): the five nearest others of every usable id, by graph search from its own place in the graph of all.
+
+    Ids, deliveries, vectors of one direction and ties count as in most_similar(). sim is the cosine of the 16-bit vectors;
+    where those leave the five open, that of the stored ones, rounded to 6 decimals.
+    """
     with freed(spark):
-        graph = neighbour_graph(vectors)
-    return search(queries, graph, vectors)
+        out = _most_similar(table(spark, sf_dir, "query_index"), K, lambda vectors: explore(neighbour_graph(vectors), vectors), True)
+    return out.select(F.col("vec_id").alias("query_id"), F.col("other").alias("node"), "sim")
 
 
 QUERIES = {"p5_found": p5_found, "p5_search": p5_search}

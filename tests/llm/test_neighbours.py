@@ -82,3 +82,40 @@ def test_one_direction_many_lengths(spark):
     hot = {int(i) for i in ids[:1303]}
     assert {p for p in got if p[0] in hot} == {p for p in want if p[0] in hot}
     assert len(got) == len(want) and len(got & want) / len(want) > 0.97
+
+
+def test_search_answers_every_id(spark, tmp_path):
+    """Also of ids not divisible by 50, with one another among the results, and with ties of one direction to the smaller ids."""
+    x = clustered(2000, seed=9)
+    x[600:630] = x[600] * np.random.default_rng(2).uniform(0.2, 5, (30, 1))
+    ids = np.random.default_rng(4).permutation(9000)[:2000]
+    frame(spark, ids, x, [(9001, [0.0] * 64, None)]).write.parquet(f"{tmp_path}/query_index.parquet")
+    rows = N.p5_search(spark, str(tmp_path)).collect()
+    got, want = {(r.query_id, r.node) for r in rows}, exact(ids, x)
+    assert {q for q, _ in got} == set(ids.tolist()) and len(rows) == len(got) == len(want)
+    same = set(ids[600:630].tolist())
+    assert {p for p in got if p[0] in same} == {p for p in want if p[0] in same}
+    assert len(got & want) / len(want) > 0.97
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    at = {int(i): n for n, i in enumerate(ids)}
+    assert max(abs(r.sim - u[at[r.query_id]] @ u[at[r.node]]) for r in rows) < 1e-3
+
+
+def test_search_small_and_hubs(spark, tmp_path, monkeypatch):
+    x = clustered(400, seed=2)
+    frame(spark, [1, 2, 3], x[:3]).write.parquet(f"{tmp_path}/a/query_index.parquet")
+    assert {(r.query_id, r.node) for r in N.p5_search(spark, f"{tmp_path}/a").collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/b/query_index.parquet")
+    assert N.p5_search(spark, f"{tmp_path}/b").count() == 0
+    # A graph of bad lists; places of more visits than HUB spread over tasks, and one turn after another.
+    monkeypatch.setattr(N, "HUB", 4)
+    monkeypatch.setattr(N, "LOAD", 2)
+    vectors = N.cut(N.usable(frame(spark, range(400), x)).selectExpr("vec_id as node", "small"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = [sorted({(i + 1) % 400, (i * 7 + 3) % 400, (i + 399) % 400, i % 3, 390} - {i}, key=lambda j, i=i: -(u[i] @ u[j])) for i in range(400)]
+    graph = spark.createDataFrame([(i, n, [float(u[i] @ u[j]) for j in n]) for i, n in enumerate(near)], N.GRAPH)
+    got = {r.node: list(r.near) for r in N.explore(graph, vectors, 1).collect()}
+    for i in range(400):
+        reach = {c for j in near[i] for c in near[j]} | set(near[i])
+        want = sorted(reach - {i}, key=lambda j: -(u[i] @ u[j]))[: N.KEEP]
+        assert len(set(got[i]) & set(want)) >= len(want) - 1 and i not in got[i]
