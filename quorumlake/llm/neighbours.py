@@ -466,24 +466,18 @@ def explore(graph: DataFrame, vectors: DataFrame, hops: int = HOPS) -> DataFrame
         if not sums.places:
             break
         turns = -(-(sums.visits + KEEP * sums.places) // (LOAD * n))
-        found = [_visit(asking, graph, vectors, places, turns, t) for t in range(turns)]
-        if turns > 1:  # of each turn only what is new to a list stays until the step ends
-            found = [cut(_news(merge(f, held, tell=True))) for f in found]
-        lists = found[0]
-        for f in found[1:]:
-            lists = lists.unionByName(f)
+        lists = _visit(asking, graph, vectors, places, turns, 0)
+        if turns > 1:
+            lists = cut(lists)
+        for t in range(1, turns):
+            lists = lists.unionByName(cut(_visit(asking, graph, vectors, places, turns, t)))
         held = cut(merge(lists, held, tell=True))
     return held.select("node", "near", "sim")
 
 
-def _news(merged: DataFrame) -> DataFrame:
-    new = F.filter(F.arrays_zip("near", "sim"), lambda x: F.array_contains("open", x.near))
-    return merged.where(F.size("open") > 0).select("node", new.alias("c")).select("node", "c.near", "c.sim")
-
-
 def _visit(asking: DataFrame, graph: DataFrame, vectors: DataFrame, places: DataFrame, turns: int, turn: int) -> DataFrame:
-    """Candidate lists (node, near, sim) of a share of the visits: the vector of a search and those of the nodes that a node
-    names are sent there and compared. A node that very many (HUB) visit is spread over several tasks.
+    """Candidate lists (node, near, sim) of a share of the visits, of what is not held yet: the vector of a search and those of
+    the nodes that a node names are sent there and compared. A node that very many (HUB) visit is spread over several tasks.
     """
 
     def mine(at: Column) -> Column:
@@ -491,23 +485,27 @@ def _visit(asking: DataFrame, graph: DataFrame, vectors: DataFrame, places: Data
 
     places = places.where(mine(F.col("at"))).select("at", F.ceil(F.col("n") / HUB).cast("int").alias("slots"))
     floor = F.coalesce(F.get("sim", F.lit(KEEP - 1)), F.lit(-2.0)).cast("float").alias("floor")
-    came = asking.select("node", floor, F.filter("open", mine).alias("open")).where(F.size("open") > 0).join(vectors, "node")
-    came = came.select(F.explode("open").alias("at"), "node", "floor", "small").join(F.broadcast(places.where("slots > 1")), "at", "left")
+    came = asking.select("node", floor, F.col("near").alias("known"), F.filter("open", mine).alias("open")).where(F.size("open") > 0).join(vectors, "node")
+    came = came.select(F.explode("open").alias("at"), "node", "floor", "known", "small").join(F.broadcast(places.where("slots > 1")), "at", "left")
     place = F.xxhash64("at", "slot").alias("place")
-    came = came.withColumn("slot", F.pmod(F.xxhash64("node"), F.coalesce("slots", F.lit(1))).cast("int")).select(place, F.lit(True).alias("asks"), "node", "floor", "small")
+    came = came.withColumn("slot", F.pmod(F.xxhash64("node"), F.coalesce("slots", F.lit(1))).cast("int")).select(place, F.lit(True).alias("asks"), "node", "floor", "known", "small")
     named = graph.select(F.col("node").alias("at"), "near").join(places, "at").select("at", "near", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
-    there = named.select(place, F.explode("near").alias("node")).join(vectors, "node").select("place", F.lit(False).alias("asks"), "node", F.lit(None).cast("float").alias("floor"), "small")
+    there = named.select(place, F.explode("near").alias("node")).join(vectors, "node").select("place", F.lit(False).alias("asks"), "node", F.lit(None).cast("float").alias("floor"), F.lit(None).cast("array<long>").alias("known"), "small")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _runs(batches, "place", 8192):
+            node, held = b.column("node").to_numpy(), b.column("known")
+            known = np.repeat(node[:, None], KEEP + 1, 1)  # itself, then what it holds
+            row, size = pc.list_parent_indices(held).to_numpy(), pc.fill_null(pc.list_value_length(held), 0).to_numpy()
+            known[row, 1 + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = pc.list_flatten(held).to_numpy()
             asks = b.column("asks").to_numpy(zero_copy_only=False)
-            yield from _scored(b.column("place").to_numpy(), asks, b.column("node").to_numpy(), b.column("floor").to_numpy(zero_copy_only=False), _matrix(b.column("small")))
+            yield from _scored(b.column("place").to_numpy(), asks, node, b.column("floor").to_numpy(zero_copy_only=False), known, _matrix(b.column("small")))
 
     return came.unionByName(there).repartition("place").sortWithinPartitions("place", "asks").mapInArrow(meet, GRAPH)
 
 
-def _scored(place: np.ndarray, asks: np.ndarray, ids: np.ndarray, floor: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """At each place the rows that ask, which come last, compared with the others; candidates below a row's floor are left out."""
+def _scored(place: np.ndarray, asks: np.ndarray, ids: np.ndarray, floor: np.ndarray, known: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """At each place the rows that ask, which come last, compared with the others; what a row knows, or is below its floor, is left out."""
     if not len(ids):
         return
     starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -524,7 +522,8 @@ def _scored(place: np.ndarray, asks: np.ndarray, ids: np.ndarray, floor: np.ndar
             sim = np.matmul(x[q], x[c].transpose(0, 2, 1))
             sim[np.broadcast_to((np.arange(m) >= there[some][:, None])[:, None, :], sim.shape)] = -2
             sim[sim < floor[q][:, :, None]] = -2
-            sim[ids[q][:, :, None] == ids[c][:, None, :]] = -2
+            for held in known.T:
+                sim[held[q][:, :, None] == ids[c][:, None, :]] = -2
             real = (np.arange(w) < came[some][:, None]) & (sim > -1.5).any(2)
             yield _lists(ids[q][real], np.broadcast_to(ids[c][:, None, :], sim.shape)[real], sim[real])
 
