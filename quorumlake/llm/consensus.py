@@ -25,6 +25,7 @@ from ..tables import cut, latest, table
 
 SLOTS = 5
 ROUNDS = 14  # passes over the vote patterns
+BLOCK = 40_000  # vote patterns of a task at a time, times its labels
 MAX_LABELS, MAX_RATERS = 10_000, 200_000  # lookup lists; checked, not cut
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _HALF = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
@@ -38,8 +39,8 @@ def plain_label(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"^\d+\s*[-_.、]\s*(?=\D)", ""), r"^(\d+)\.0+$", "$1")
 
 
-def label_lookup(labels: DataFrame, skip: tuple[str, ...]) -> tuple[dict[str, str], dict[str, list[str]]]:
-    """'task|spelling' to label code, and each task's codes in rank order."""
+def label_lookup(labels: DataFrame, skip: tuple[str, ...]) -> tuple[dict[str, dict[str, str]], dict[str, list[str]]]:
+    """Each task's spellings with their label codes, and its codes in rank order."""
     rows = labels.where(~F.col("task").isin(*skip)).select("task", "label_code", "name_en", "name_zh", "rank_no").limit(MAX_LABELS + 1).collect()
     if len(rows) > MAX_LABELS:
         raise ValueError(f"label_set holds over {MAX_LABELS} labels")
@@ -48,10 +49,14 @@ def label_lookup(labels: DataFrame, skip: tuple[str, ...]) -> tuple[dict[str, st
         codes.setdefault(r.task, []).append(r.label_code)
         for n in (r.label_code, r.name_en, r.name_zh):
             if n:
-                names.setdefault(f"{r.task}|{n.strip().lower()}", r.label_code)
+                names.setdefault(r.task, {}).setdefault(n.strip().lower(), r.label_code)
     return names, codes
 
 
+def _literal(pairs: dict[str, Column]) -> Column:
+    return F.create_map(*chain.from_iterable((F.lit(k), v) for k, v in sorted(pairs.items())))
+
+
 def votes(samples: DataFrame, labels: DataFrame, least: int = 3, skip: tuple[str, ...] = ("image_classification",)) -> tuple[DataFrame, dict[str, list[str]]]:
     """(sample_id, task, votes array<struct<rater, label>>) of samples with at least `least` usable labels, and the codes.
 
@@ -62,107 +67,121 @@ def votes(samples: DataFrame, labels: DataFrame, least: int = 3, skip: tuple[str
     if not names:
         raise ValueError("label_set names no label")
     once = latest(samples.select("sample_id", "task", "raters", "ingested_at", *[f"annotation_{i}" for i in range(1, SLOTS + 1)]).where(F.col("task").isin(*codes) & F.col("sample_id").isNotNull()), ["sample_id"], ["ingested_at"])
-    lookup = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in sorted(names.items())))
+    lookup = _literal({t: _literal({k: F.lit(v) for k, v in spelled.items()}) for t, spelled in names.items()})[F.col("task")]
 
     def vote(i: int) -> Column:
         raw = F.col(f"annotation_{i}")
-        code = F.coalesce(lookup[F.concat_ws("|", "task", F.lower(raw))], lookup[F.concat_ws("|", "task", plain_label(raw))])
+        code = F.coalesce(lookup[F.lower(raw)], lookup[plain_label(raw)])
         return F.struct(F.coalesce(F.get("raters", F.lit(i - 1)), F.lit("")).alias("rater"), F.when(raw.isNotNull(), code).alias("label"))
 
     cast = F.filter(F.array(*[vote(i) for i in range(1, SLOTS + 1)]), lambda v: v.label.isNotNull())
-    return once.select("sample_id", "task", cast.alias("votes")).where(F.size("votes") >= least), codes
+    # Out of explode(), since a plain column would be computed twice: the filter on it is pushed below with a copy of its own.
+    return once.select("sample_id", "task", F.explode(F.array(cast)).alias("votes")).where(F.size("votes") >= least), codes
+
+
+def parts(batch: pa.RecordBatch, codes: dict[str, list[str]]) -> Iterator[tuple[str, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    """By task, some rows at a time: row numbers, the raters' names, and by slot and row the rater's place among them and the label number.
+
+    Where a row has fewer votes, the rater's place is one behind the last and the label 0.
+    """
+    lists = batch.column("votes")
+    owner = pc.list_parent_indices(lists).to_numpy()
+    if not len(owner):
+        return
+    flat = lists.flatten()
+    raters, labels = flat.field("rater").dictionary_encode(), flat.field("label").dictionary_encode()
+    slot = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    rater, label = np.full((slot.max() + 1, len(batch)), -1), np.zeros((slot.max() + 1, len(batch)), int)
+    rater[slot, owner], label[slot, owner] = raters.indices.to_numpy(), labels.indices.to_numpy()
+    tasks, written = sorted(codes), labels.dictionary.to_pylist()
+    no = pc.index_in(batch.column("task"), value_set=pa.array(tasks)).to_numpy(zero_copy_only=False)
+    for i, t in enumerate(tasks):
+        mine = np.flatnonzero(no == i)
+        place = {c: z for z, c in enumerate(codes[t])}
+        number = np.array([place.get(c, 0) for c in written])
+        for at in np.array_split(mine, -(-len(mine) // max(BLOCK // len(place), 1))) if len(mine) else []:
+            here = rater[:, at]
+            who, r = np.unique(here, return_inverse=True)
+            r = r.reshape(here.shape)
+            if who[0] < 0:
+                who, r = who[1:], np.where(here < 0, len(who) - 1, r - 1)
+            yield t, at, raters.dictionary.take(pa.array(who)), r, np.where(here < 0, 0, number[label[:, at]])
 
 
 class Model:
-    """Parameters of all raters of all tasks, and what a batch of votes tells about them."""
+    """Parameters of all raters of all tasks, and what a block of votes tells about them."""
 
     def __init__(self, codes: dict[str, list[str]], raters: list[tuple[str, str]]) -> None:
         self.codes = codes
         self.tasks = sorted(codes)
         self.raters = raters
+        self.names = {t: pa.array([r for of, r in raters if of == t], pa.string()) for t in self.tasks}
+        self.first = dict(zip(self.tasks, np.cumsum([0, *(len(self.names[t]) for t in self.tasks)]), strict=False))
         self.k = max(map(len, codes.values()))
         self.alpha = np.full(len(raters), 2.0)
         self.taste = np.zeros((len(raters), self.k))
         self.prior = {t: np.full(len(codes[t]), 1 / len(codes[t])) for t in codes}
 
-    def parts(self, batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-        """By task: row numbers, and rater and label numbers by slot (rater -1 where a row has fewer votes)."""
-        lists = batch.column("votes")
-        owner = pc.list_parent_indices(lists).to_numpy()
-        if not len(owner):
-            return
-        flat, task = lists.flatten(), batch.column("task")
-        owner_task = task.take(pa.array(owner))
-        number = pc.index_in(pc.binary_join_element_wise(owner_task, flat.field("rater"), "|"), value_set=pa.array([f"{t}|{r}" for t, r in self.raters])).to_numpy()
-        label = pc.index_in(pc.binary_join_element_wise(owner_task, flat.field("label"), "|"), value_set=pa.array([f"{t}|{c}" for t in self.tasks for c in self.codes[t]])).to_numpy()
-        first = dict(zip(self.tasks, np.cumsum([0, *(len(self.codes[t]) for t in self.tasks)]), strict=False))
-        slot = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        r, lab = np.full((len(batch), slot.max() + 1), -1), np.zeros((len(batch), slot.max() + 1), int)
-        r[owner, slot], lab[owner, slot] = number, label
-        no = pc.index_in(task, value_set=pa.array(self.tasks)).to_numpy(zero_copy_only=False)
-        for i, t in enumerate(self.tasks):
-            mine = np.flatnonzero(no == i)
-            for at in np.array_split(mine, -(-len(mine) // 8000)) if len(mine) else []:
-                yield t, at, r[at], np.where(r[at] >= 0, lab[at] - first[t], 0)
-
-    def posterior(self, task: str, r: np.ndarray, lab: np.ndarray, steps: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Labels' posteriors, easiness, and P(l = z | z) by slot and z."""
-        k = len(self.codes[task])
-        there = r >= 0
-        alpha, taste = np.where(there, self.alpha[r], 0.0), self.taste[r][:, :, :k]
-        e = np.exp(taste)
-        total = e.sum(2, keepdims=True)
-        hot = lab[:, :, None] == np.arange(k)
-        log_prior = np.log(self.prior[task])
-        b = np.zeros(len(r))
+    def numbers(self, task: str, who: pa.Array) -> np.ndarray:
+        """Places of a task's raters among all parameters."""
+        return self.first[task] + pc.index_in(who, value_set=self.names[task]).to_numpy()
+
+    def posterior(self, task: str, who: np.ndarray, r: np.ndarray, lab: np.ndarray, steps: int = 4) -> tuple[np.ndarray, ...]:
+        """By label z and row: the posteriors; by row: the easiness; by z, slot and row: P(l = z | z), its divisor and exp(taste).
+
+        A missing vote counts as one of a rater with ability 0 for whom every divisor is 1.
+        """
+        k, n = len(self.codes[task]), r.shape[1]
+        e = np.exp(self.taste[who, :k]).T
+        rest, e = np.append(e.sum(0) - e, np.ones((k, 1)), 1)[:, r], np.append(e, np.zeros((k, 1)), 1)[:, r]
+        alpha, rows = np.append(self.alpha[who], 0.0)[r], np.arange(n)
+        said = np.zeros((k, n))
+        for by_slot, mine in zip(alpha, lab, strict=True):
+            said[mine, rows] += by_slot
+        log_prior = np.log(self.prior[task])[:, None]
+        b = np.zeros(n)
+        right, d = np.empty_like(e), np.empty_like(e)
         for step in range(steps + 1):
             beta = np.exp(b)
-            a = alpha * beta[:, None]
-            up = e * np.exp(a)[:, :, None]
-            d = total - e + up
-            right = up / d
-            log_q = (np.where(there[:, :, None], np.where(hot, a[:, :, None], 0.0) - np.log(d), 0.0)).sum(1) + log_prior
-            log_q -= log_q.max(1, keepdims=True)
-            q = np.exp(log_q)
-            q /= q.sum(1, keepdims=True)
+            a = alpha * beta
+            np.multiply(e, np.exp(a), out=right)
+            np.add(rest, right, out=d)
+            right /= d
+            q = said * beta - np.log(d.prod(1)) + log_prior  # at most SLOTS divisors below exp(45) each
+            q -= q.max(0)
+            np.exp(q, out=q)
+            q /= q.sum(0)
             if step == steps:
-                return q, beta, right
-            g = ((np.where(hot, q[:, None, :], 0.0).sum(2) - (q[:, None, :] * right).sum(2)) * a * there).sum(1) - b / 0.25
+                return q, beta, right, d, e
+            g = ((q[lab, rows] - np.einsum("zn,zsn->sn", q, right)) * a).sum(0) - b / 0.25
             b = np.clip(b + 0.1 * np.clip(g, -3, 3), -1.5, 1.5)
         raise AssertionError
 
-    def statistics(self, task: str, r: np.ndarray, lab: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-        """Sums of gradient and curvature by rater and parameter; parameter -1 is the ability, -2 - z the class counts."""
-        k = len(self.codes[task])
-        out_r, out_p, out_g, out_h = [], [], [], []
-        q, beta, right = self.posterior(task, r, lab)
-        e = np.exp(self.taste[r][:, :, :k])
-        total = e.sum(2)
-        a = np.where(r >= 0, self.alpha[r], 0.0) * beta[:, None]
-        d = total[:, :, None] - e + e * np.exp(a)[:, :, None]
-        w = n[:, None] * (r >= 0)
-        pr = (q[:, None, :] * right).sum(2)
-        hit = np.take_along_axis(q, lab, 1)
-        flat, ww = r.ravel(), w.ravel()
-        keep = flat >= 0
-
-        def add(param: int, g: np.ndarray, h: np.ndarray) -> None:
-            gs = np.bincount(flat[keep], (g.ravel() * ww)[keep], len(self.raters))
-            hs = np.bincount(flat[keep], (h.ravel() * ww)[keep], len(self.raters))
-            some = np.flatnonzero(hs + np.abs(gs))
-            out_r.append(some)
-            out_p.append(np.full(len(some), param))
-            out_g.append(gs[some])
-            out_h.append(hs[some])
-
-        add(-1, (hit - pr) * beta[:, None], (q[:, None, :] * right * (1 - right)).sum(2) * beta[:, None] ** 2)
-        inverse = (q[:, None, :] / d).sum(2)
+    def statistics(self, task: str, names: pa.Array, r: np.ndarray, lab: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Sums of gradient and curvature: rows (rater, parameter, g, h); parameter -1 is the ability, -2 - z the class counts."""
+        k, most = len(self.codes[task]), len(names) + 1
+        who = self.numbers(task, names)
+        q, beta, right, d, e = self.posterior(task, who, r, lab)
+        flat, w = r.ravel(), np.where(r < len(names), n, 0.0)
+        by_label = np.bincount(flat * k + lab.ravel(), w.ravel(), most * k).reshape(most, k)
+        hit = q[lab, np.arange(r.shape[1])]
+        sure = q[:, None] * right  # by z, slot and row, as are these below
+        out = []
+
+        def add(param: int, gs: np.ndarray, hs: np.ndarray) -> None:
+            some = np.flatnonzero(hs[:-1] + np.abs(gs[:-1]))
+            out.append(np.stack([who[some], np.full(len(some), param), gs[some], hs[some]]))
+
+        def total(x: np.ndarray) -> np.ndarray:
+            return np.bincount(flat, (x * w).ravel(), most)
+
+        add(-1, total((hit - sure.sum(0)) * beta), total((sure.sum(0) - (sure * right).sum(0)) * beta**2))
+        np.divide(q[:, None], d, out=d)
+        p = e * (d.sum(0) - d) + sure
         for z in range(k):
-            p = e[:, :, z] * (inverse - q[:, None, z] / d[:, :, z]) + q[:, None, z] * right[:, :, z]
-            add(z, (lab == z) - p, p * (1 - p))
-        out = pd.DataFrame({"rater": np.concatenate(out_r), "param": np.concatenate(out_p), "g": np.concatenate(out_g), "h": np.concatenate(out_h)})
-        classes = pd.DataFrame({"rater": self.tasks.index(task), "param": -2 - np.arange(k), "g": (q * n[:, None]).sum(0), "h": 0.0})
-        return pd.concat([out, classes], ignore_index=True)
+            add(z, by_label[:, z] - total(p[z]), total(p[z] * (1 - p[z])))
+        out.append(np.stack([np.full(k, self.tasks.index(task)), -2 - np.arange(k), (q * n).sum(1), np.zeros(k)]))
+        return np.concatenate(out, 1)
 
     def step(self, sums: pd.DataFrame) -> None:
         """One damped Newton step under priors alpha ~ N(1.5, 2^2), c ~ N(0, 1.5^2)."""
@@ -180,10 +199,23 @@ class Model:
         self.taste[r[~is_a], p[~is_a]] = new[~is_a]
 
 
+def coded(cast: DataFrame, codes: dict[str, list[str]]) -> DataFrame:
+    """The distinct vote patterns in blocks: raters' names, and arrays of their places, labels (by slot and row) and counts."""
+    patterns = cast.select("task", F.array_sort("votes").alias("votes")).groupBy("task", "votes").agg(F.count(F.lit(1)).alias("n"))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            for t, at, who, r, lab in parts(batch, codes):
+                yield pa.RecordBatch.from_pydict({"task": [t], "who": pa.array([who.to_pylist()], pa.list_(pa.string())), "rows": pa.array([len(at)], pa.int32()), "r": [r.astype(np.int32).tobytes()], "lab": [lab.astype(np.int32).tobytes()], "n": [n[at].astype(float).tobytes()]})
+
+    return cut(patterns.mapInArrow(code, "task string, who array<string>, rows int, r binary, lab binary, n binary"))
+
+
 def fit(cast: DataFrame, codes: dict[str, list[str]], rounds: int = ROUNDS) -> Model:
-    """Fit the model on all votes. Each round is one pass over the distinct vote patterns."""
-    patterns = cut(cast.select("task", F.array_sort("votes").alias("votes")).groupBy("task", "votes").agg(F.count(F.lit(1)).alias("n")))
-    raters = patterns.select("task", F.explode("votes.rater").alias("rater")).distinct().limit(MAX_RATERS + 1).collect()
+    """Fit the model on all votes. Each round is one pass over the distinct vote patterns, coded once."""
+    blocks = coded(cast, codes)
+    raters = blocks.select("task", F.explode("who").alias("rater")).distinct().limit(MAX_RATERS + 1).collect()
     if len(raters) > MAX_RATERS:
         raise ValueError(f"over {MAX_RATERS} raters; their parameters don't fit the driver")
     model = Model(codes, sorted((r.task, r.rater) for r in raters))
@@ -193,12 +225,14 @@ def fit(cast: DataFrame, codes: dict[str, list[str]], rounds: int = ROUNDS) -> M
         def tell(batches: Iterator[pa.RecordBatch], held: Model = held) -> Iterator[pa.RecordBatch]:
             sums = []
             for batch in batches:
-                n = batch.column("n").to_numpy().astype(float)
-                sums += [held.statistics(t, r, lab, n[at]) for t, at, r, lab in held.parts(batch)]
+                for t, who, rows, r, lab, n in zip(batch.column("task").to_pylist(), batch.column("who"), *(batch.column(c).to_pylist() for c in ("rows", "r", "lab", "n")), strict=True):
+                    sums.append(held.statistics(t, who.values, *(np.frombuffer(x, np.int32).reshape(-1, rows).astype(int) for x in (r, lab)), np.frombuffer(n)))
             if sums:
-                yield pa.RecordBatch.from_pandas(pd.concat(sums).groupby(["rater", "param"], as_index=False).sum(), preserve_index=False)
+                rater, param, g, h = np.concatenate(sums, 1)
+                key, at = np.unique(rater.astype(int) * (2 * held.k + 1) + param.astype(int) + held.k + 1, return_inverse=True)
+                yield pa.RecordBatch.from_pydict({"rater": key // (2 * held.k + 1), "param": key % (2 * held.k + 1) - held.k - 1, "g": np.bincount(at, g), "h": np.bincount(at, h)})
 
-        sums = patterns.mapInArrow(tell, "rater long, param long, g double, h double").groupBy("rater", "param").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+        sums = blocks.mapInArrow(tell, "rater long, param long, g double, h double").groupBy("rater", "param").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
         model.step(sums.sort_values(["rater", "param"]))
     return model
 
@@ -208,11 +242,11 @@ def consensus(cast: DataFrame, model: Model) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, at, r, lab in model.parts(batch):
-                q, beta, _ = model.posterior(t, r, lab)
-                best = q.round(9).argmax(1)
-                n = (r >= 0).sum(1).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"sample_id": batch.column("sample_id").take(pa.array(at)), "task": pa.array([t] * len(at)), "label_code": pa.array(model.codes[t]).take(pa.array(best)), "posterior": q[np.arange(len(at)), best], "easiness": beta, "n_votes": n})
+            for t, at, who, r, lab in parts(batch, model.codes):
+                q, beta, *_ = model.posterior(t, model.numbers(t, who), r, lab)
+                best = q.round(9).argmax(0)
+                n = (r < len(who)).sum(0).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"sample_id": batch.column("sample_id").take(pa.array(at)), "task": pa.array([t] * len(at)), "label_code": pa.array(model.codes[t]).take(pa.array(best)), "posterior": q[best, np.arange(len(at))], "easiness": beta, "n_votes": n})
 
     return cast.mapInArrow(judge, "sample_id long, task string, label_code string, posterior double, easiness double, n_votes int")
 
