@@ -97,7 +97,7 @@ def parts(batch: pa.RecordBatch, codes: dict[str, list[str]]) -> Iterator[tuple[
     no = pc.index_in(batch.column("task"), value_set=pa.array(tasks)).to_numpy(zero_copy_only=False)
     for i, t in enumerate(tasks):
         mine = np.flatnonzero(no == i)
-        place = {c: z for z, c in enumerate(codes[t])}
+        place = {c: z for z, c in reversed(list(enumerate(codes[t])))}  # the first place of a code listed twice
         number = np.array([place.get(c, 0) for c in written])
         for at in np.array_split(mine, -(-len(mine) // max(BLOCK // len(place), 1))) if len(mine) else []:
             here = rater[:, at]

@@ -126,3 +126,9 @@ def test_blocks_against_single_votes(spark, monkeypatch):
                 got[int(rater), int(param)] = got.get((int(rater), int(param)), 0) + np.array([g, h])
         assert sorted(seen) == list(range(len(tasks)))
         assert all(np.allclose(got.get(key, 0), x, atol=1e-12) for key, x in want.items()) and set(got) <= set(want)
+
+
+def test_label_listed_twice():
+    batch = pa.RecordBatch.from_pydict({"task": ["t"], "votes": [[{"rater": "r", "label": c} for c in "aba"]]})
+    [(_, _, _, _, lab)] = C.parts(batch, {"t": ["a", "b", "a"]})
+    assert lab.ravel().tolist() == [0, 1, 0]
